@@ -1,0 +1,63 @@
+"""Queries of the core, by name, and the SQL that they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.operators import nested_records, packed_values, units
+from platewise.tables import table
+
+#: The measured fields of the test tables.
+CALORIES = units.Quantity("calories", "energy|calories", units.ENERGY, units.NOTE_ENERGY, "kcal")
+FAT = units.Quantity("fat", "fat", units.MASS, units.MASS, "g")
+SUGAR = units.Quantity("sugar", "sugar", units.MASS, units.MASS, "g")
+SODIUM = units.Quantity("sodium", "sodium", units.MASS, units.MASS, "mg")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of a packed category or keywords field that holds at least two."""
+    recipes = table(spark, folder, "recipes").select("id", "category")
+    # Rows delivered twice are equal in all columns, so equal (id, keywords) are one delivery or carry nothing new.
+    parsed = table(spark, folder, "parsed_recipes").select("id", "keywords").dropDuplicates()
+    return reduce(
+        DataFrame.unionByName,
+        [
+            packed_values.unpacked(df, field, least=2).select(F.lit(tbl).alias("tbl"), "id", "pos", "item")
+            for tbl, df, field in (("recipes", recipes, "category"), ("parsed_recipes", parsed, "keywords"))
+        ],
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The amounts, in thousandths of the common unit, of fields written in another unit."""
+    measured = (CALORIES, "energy_unit"), (FAT, "weight_unit"), (SUGAR, "weight_unit"), (SODIUM, "sodium_unit")
+    feeds = table(spark, folder, "feeds").select("feed", "energy_unit", "weight_unit", "sodium_unit")
+    rows = table(spark, folder, "parsed_recipes").select("id", "feed", "nutrition_note", *(q.field for q, _ in measured))
+    joined = rows.join(feeds, "feed", "left")
+    amounts = F.array(
+        *(
+            F.struct(
+                F.lit(q.field).alias("field"),
+                units.in_common_unit(F.col(q.field), F.coalesce(units.note_unit(F.col("nutrition_note"), q), F.col(unit)), q).alias("found"),
+            )
+            for q, unit in measured
+        )
+    )
+    cases = joined.select("id", F.inline(amounts)).filter(F.col("found").isNotNull())
+    milli = F.round(F.col("found.amount") * 1000).cast("long")
+    return cases.select("id", "field", milli.alias("amount_milli")).dropDuplicates()
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections, steps, reviews and replies of every staged recipe, linked to their parents."""
+    staged = table(spark, folder, "recipe_urls")
+    return nested_records.recipe_tables(staged, "data", "id").select("id", "kind", "node", "parent_node")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p7_found)}
+
+SQL: dict[str, str] = {}
