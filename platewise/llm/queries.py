@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions.text import normalised_terms, term_set
-from platewise.llm import formatting_copies, leaked_tests, similar_sets, term_counts, together, token_ids
+from platewise.llm import formatting_copies, leaked_tests, similar_sets, subject_areas, term_counts, together, token_ids
 from platewise.llm.sql import SQL  # noqa: F401
 from platewise.operators.packed_values import split_values
 from platewise.tables import table
@@ -62,4 +62,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("run >= 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Main subjects of every document without a label."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, folder, "doc_labels").select(F.col("doc_id").alias("id"), "subject")
+    # The list of subjects is fixed: a row for each that the corpus is measured by.
+    subjects = sorted(r["subject"] for r in table(spark, folder, "subject_areas").select("subject").distinct().collect())
+    return subject_areas.main_subjects(documents, labels, subjects).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p8_ids, p9_found, p10_found)}
