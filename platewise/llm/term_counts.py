@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.stage import written
+
 #: Terms that a task holds before it passes its counters on and starts anew.
 HELD = 200_000
 COUNTS = "field string, term string, occurrences long, records long"
@@ -57,6 +59,8 @@ def term_counts(records: DataFrame) -> DataFrame:
     """
     partial = records.select("field", "terms").mapInArrow(last_seen, COUNTS)
     counts = partial.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # A stage, as the sizes and the terms are both taken from it, and the collection is read once.
+    counts = written(counts, "term-counts")
     # A row per field, of which the query names a few.
     sizes = counts.filter("term is null").select("field", F.col("records").alias("n"))
     return counts.filter("term is not null").join(F.broadcast(sizes), "field")
