@@ -134,7 +134,7 @@ def shredded(df: DataFrame, json_column: str, key: str) -> DataFrame:
 
     Null and broken texts give no rows. Repeated rows give repeated nodes. One Arrow pass, no shuffle.
     """
-    tree = df.select(F.col(f"`{key}`").alias("__key"), _shred(F.col(f"`{json_column}`")).alias("__nodes"))
+    tree = df.select(F.col(f"`{key}`").alias("__key"), _shred.asNondeterministic()(F.col(f"`{json_column}`")).alias("__nodes"))
     return tree.select(F.col("__key").alias(key), F.inline("__nodes"))
 
 
@@ -239,7 +239,8 @@ def _entities(texts: pa.Array) -> pa.Array:
 
 def entities(text: Column) -> Column:
     """Array of the entities in a JSON text; empty for null and broken texts and texts without a recipe."""
-    return _entities(text)
+    # Not to be evaluated once for the filter that Catalyst infers and again for the rows.
+    return _entities.asNondeterministic()(text)
 
 
 def recipe_tables(df: DataFrame, json_column: str, key: str) -> DataFrame:

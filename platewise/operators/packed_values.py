@@ -84,7 +84,8 @@ def _split_column(texts: pa.Array) -> pa.Array:
 
 def split_values(text: Column) -> Column:
     """Array of the values packed in ``text``; empty for null and blank texts."""
-    return _split_column(text)
+    # Not to be evaluated once for the filter and again for the values.
+    return _split_column.asNondeterministic()(text)
 
 
 def unpacked(df: DataFrame, field: str, least: int = 1) -> DataFrame:
