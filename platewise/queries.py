@@ -8,7 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.operators import nested_records, packed_values, units
+from platewise.functions import jsonld, render
+from platewise.functions.literals import list_elements
+from platewise.operators import ingest, nested_records, packed_values, search, units
+from platewise.plans import crawl
+from platewise.sources import pages, sitemaps
+from platewise.sql import SQL  # noqa: F401
 from platewise.tables import table
 
 #: The measured fields of the test tables.
@@ -58,6 +63,166 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.recipe_tables(staged, "data", "id").select("id", "kind", "node", "parent_node")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p7_found)}
 
-SQL: dict[str, str] = {}
+def facet_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """A1, A2, L4."""
+    return search.categories(table(spark, folder, "recipes"))
+
+
+def facet_cuisines(spark: SparkSession, folder: str) -> DataFrame:
+    """A3, P2."""
+    return search.cuisines(table(spark, folder, "recipes"), category="Dessert")
+
+
+def names_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """P1 to P4, P7."""
+    return search.names(table(spark, folder, "recipes"), cuisine="British", category="Dinner", ingredient="Cream")
+
+
+def name_search(spark: SparkSession, folder: str) -> DataFrame:
+    """P6, F1."""
+    return search.names_like(table(spark, folder, "recipes"), "CRÈME")
+
+
+def ingredient_word(spark: SparkSession, folder: str) -> DataFrame:
+    """A term after a space, with a live wildcard."""
+    return search.names(table(spark, folder, "recipes"), ingredient="Pe_per")
+
+
+def ingredients_all_of(spark: SparkSession, folder: str) -> DataFrame:
+    """P5, F12."""
+    return search.names_with(table(spark, folder, "recipes"), " butter, EGG,, salt".split(","))
+
+
+def found_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three texts are the feature."""
+    return search.found_texts(table(spark, folder, "recipes"), cuisine="Italian", category="dinner", most=3)
+
+
+def recipe_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """F2, F3 over every recipe."""
+    return search.texts(table(spark, folder, "recipes"))
+
+
+def recipe_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """P8, L2."""
+    return search.text_by_id(table(spark, folder, "recipes"), 7)
+
+
+def recipe_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """F10, F17."""
+    return search.summary_by_id(table(spark, folder, "recipes"), 11, cuisine="Thai", category="main COURSE")
+
+
+def page_by_url(spark: SparkSession, folder: str) -> DataFrame:
+    """P9."""
+    return search.by_url(table(spark, folder, "sitemap").select("id", "url"), "https://www.claripes-plates.example/sitemaps/2023-q4-0.xml")
+
+
+def pages_by_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """P10."""
+    return search.by_ids(table(spark, folder, "recipe_urls").select("id", "url"), [3, 5, 8, 13, 999_999_999])
+
+
+def url_exists(spark: SparkSession, folder: str) -> DataFrame:
+    """P12."""
+    return search.url_exists(table(spark, folder, "sitemap"), "https://www.claripes-plates.example/sitemaps/2023-q4-0.xml")
+
+
+def unfinished_sitemaps(spark: SparkSession, folder: str) -> DataFrame:
+    """P11, S2."""
+    return ingest.unfinished(table(spark, folder, "sitemap"))
+
+
+def finished_sitemaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The sitemaps that recipes were staged from become completed."""
+    frontier = table(spark, folder, "sitemap")
+    used = table(spark, folder, "recipe_urls").select(F.col("sitemap_id").alias("id")).distinct()
+    return ingest.finished(frontier, frontier.join(used, "id", "left_semi").select("url"))
+
+
+def absent_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The even rows of the frontier are incoming, the completed ones exist."""
+    frontier = table(spark, folder, "sitemap")
+    return ingest.absent(frontier.filter("completed is null or not completed"), frontier.filter("completed")).select("id", "url")
+
+
+def staged_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The staging table, with the kind of its JSON text."""
+    return table(spark, folder, "recipe_urls").select("id", "url", "name", F.length("data").alias("size"))
+
+
+def _html(staging: DataFrame) -> DataFrame:
+    """Pages as a site would serve the staged rows: title, breadcrumbs (every third a collection), record script."""
+    title = F.col("name")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(raw), F.lit(safe))
+    third = F.when(F.col("id") % 3 == 0, pages.COLLECTION).otherwise("Dessert")
+    html = F.concat(
+        F.lit("<html><head><title>"), title, F.lit(f'</title></head><body><ul class="{pages.BREADCRUMB}"><li>Home</li><li>{pages.SECTION}</li><li>'),
+        third, F.lit('</li></ul><script data-testid="page-schema">'), F.col("data"), F.lit("</script></body></html>"),
+    )
+    return staging.select("id", "sitemap_id", "url", html.alias("html"))
+
+
+def page_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Title and kind of every page, and its record."""
+    served = _html(table(spark, folder, "recipe_urls"))
+    return served.select("id", pages.facts(F.col("html")).alias("f")).select("id", "f.title", "f.is_recipe", F.md5("f.record").alias("record"))
+
+
+def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of unfinished sitemaps that staging lacks; staging has the pages of odd id."""
+    frontier, staging = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
+    fetched = _html(staging).join(frontier.select(F.col("id").alias("sitemap_id"), F.col("url").alias("sitemap_url")), "sitemap_id").select("id", "sitemap_url", "url", "html")
+    new, _ = crawl.import_pages(frontier, fetched, staging.filter("id % 2 = 1").select("id", "url", "name", "data"))
+    return new.select("id", "url", "name")
+
+
+def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The addresses of one sitemap document per sitemap."""
+    urls = table(spark, folder, "recipe_urls").filter("sitemap_id is not null").select("sitemap_id", F.concat(F.lit("<url><loc>"), F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</loc></url>")).alias("entry"))
+    documents = urls.groupBy(F.col("sitemap_id").alias("id")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list("entry"), ""), F.lit("</urlset>")).alias("xml"))
+    return sitemaps.sitemap_rows(documents, "xml", "id")
+
+
+def json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Image and nutrition of the records at the top of the JSON text."""
+    read = table(spark, folder, "recipe_urls").select("id", jsonld.record(F.col("data")).alias("r"))
+    part = lambda f: jsonld.without_unit(F.col(f"r.nutrition.{f}"), jsonld.NUTRITION[f][1])
+    return read.select("id", F.col("r.image.url").alias("image"), part("calories").alias("calories"), part("fatContent").alias("fat"), part("sodiumContent").alias("sodium"))
+
+
+def keyword_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """F4."""
+    return table(spark, folder, "parsed_recipes").select("id", jsonld.keyword_list(F.col("keywords")).alias("keywords")).distinct()
+
+
+def curated_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the curated table from staging."""
+    return ingest.curated(table(spark, folder, "recipe_urls").select("id", "url", "name", "data"))
+
+
+def list_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """F16: the elements of the ingredients, in either dialect."""
+    return table(spark, folder, "recipes").select("id", F.posexplode(list_elements(F.col("ingredients"), strict=True)).alias("pos", "ingredient"))
+
+
+def menu_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """the cuisines, three to a line."""
+    return render.grid(table(spark, folder, "recipes"), "cuisine", 3)
+
+
+def sample_ten(spark: SparkSession, folder: str) -> DataFrame:
+    """L3: ten recipes drawn without replacement are the feature."""
+    return search.sampled(table(spark, folder, "recipes").select("id", "name"), 10, seed=42)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        facet_categories, facet_cuisines, names_filtered, name_search, ingredient_word, ingredients_all_of, found_texts, recipe_texts, recipe_by_id,
+        recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages,
+        sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found,
+    )
+}

@@ -1,0 +1,24 @@
+"""Every core query against its SQL, and the contract of the entry module."""
+
+import pytest
+
+import oracle
+from platewise import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_agrees_with_sql(spark, name):
+    oracle.compare(spark, queries.QUERIES, queries.SQL, name)
+
+
+def test_sample_has_ten_known_rows(spark):
+    rows = queries.sample_ten(spark, str(oracle.DATA)).collect()
+    assert len({r.id for r in rows}) == 10
+
+
+def test_entry_module(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(queries.QUERIES) <= set(entry.queries())
+    assert entry.entry(spark).columns == ["id", "field", "amount_milli"]
