@@ -84,7 +84,7 @@ def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
     count = len(prior)
     n = reduce(Column.__add__, (F.col(f"s{k}") for k in range(count)))
     shares = [(F.col(f"s{k}") + SMOOTHING * p) / (F.col("n") + SMOOTHING) for k, p in enumerate(prior)]
-    information = reduce(Column.__add__, (x * F.log(x / p) for x, p in zip(shares, prior) if p > 0))
+    information = reduce(Column.__add__, (x * F.log(x / p) for x, p in zip(shares, prior) if p > 0), F.lit(0.0))
     known = evidence.withColumn("n", n).withColumn("information", information)
     return known.select("term", "n", "information", *((F.pow("information", F.lit(2)) * x).alias(f"w{k}") for k, x in enumerate(shares)))
 

@@ -23,6 +23,8 @@ SLICE = 1 << 16
 
 # A space between two letters or digits always begins a token of its own, whatever stands around it.
 _SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+# Longer runs of white space overrun the stack of the library's matching.
+_RUN = re.compile(r"[^\S\x1c-\x1f]{%d,}" % SLICE)
 
 
 def slices(text: str, length: int = SLICE) -> Iterator[str]:
@@ -54,7 +56,15 @@ def encoded(text: str | None, vocabulary: str) -> np.ndarray:
     encode = encoding(vocabulary).encode_to_numpy
     if len(text) <= SLICE:
         return encode(text, disallowed_special=())
-    return np.concatenate([encode(s, disallowed_special=()) for s in slices(text)])
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        # The run is one token of the pattern, but for its last character if more text follows.
+        end = run.end() - (run.end() < len(text))
+        ids += [encode(s, disallowed_special=()) for s in slices(text[at : run.start()])]
+        ids.append(np.array(encoding(vocabulary)._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    ids += [encode(s, disallowed_special=()) for s in slices(text[at:])]
+    return np.concatenate(ids)
 
 
 def decoded(ids, vocabulary: str) -> bytes:

@@ -1,0 +1,73 @@
+from collections import Counter
+from itertools import combinations
+from random import Random
+
+import pyarrow as pa
+import pytest
+
+from platewise.llm import term_counts, together
+
+SCHEMA = "field string, terms array<string>"
+
+
+def baskets(count=400):
+    r = Random(3)
+    rows = []
+    for k in range(count):
+        terms = sorted({f"t{min(r.randrange(30), r.randrange(30))}" for _ in range(r.randrange(8))} | ({"salt", "pepper"} if k % 3 == 0 else set()))
+        rows.append(("f" if k % 2 else "g", terms))
+    return rows + [("f", None), ("f", []), ("g", ["alone"])]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_pairs_as_by_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(together, "BROADCAST_ROWS", 1000 if small else 0)
+    rows = baskets()
+    n = Counter(f for f, t in rows if t)
+    held = Counter((f, x) for f, t in rows for x in t or ())
+    pairs = Counter((f, a, b) for f, t in rows for a, b in combinations(t or (), 2))
+    got = {(r.field, r.term_a, r.term_b): r for r in together.pair_counts(spark.createDataFrame(rows, SCHEMA), least=5, share=20).collect()}
+    want = {p: k for p, k in pairs.items() if k >= 5 and 20 * k >= n[p[0]]}
+    assert {p: r.k for p, r in got.items()} == want and want
+    for (f, a, b), r in got.items():
+        assert (r.in_a, r.in_b, r.n) == (held[f, a], held[f, b], n[f])
+    r = got["g", "pepper", "salt"]
+    cells = r.k + 0.5, r.in_a - r.k + 0.5, r.in_b - r.k + 0.5, r.n - r.in_a - r.in_b + r.k + 0.5
+    assert r.odds == pytest.approx(cells[0] * cells[3] / (cells[1] * cells[2]))
+
+
+def test_pairs_of_nothing_and_of_a_long_record(spark):
+    assert together.pair_counts(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert together.pair_counts(spark.createDataFrame([("f", ["a"])], SCHEMA)).collect() == []
+    long = [f"{k:04}" for k in range(800)]
+    assert together.pair_counts(spark.createDataFrame([("f", long)], SCHEMA)).count() == 800 * 799 // 2
+
+
+def test_runs_merge_across_batches(monkeypatch):
+    monkeypatch.setattr(together, "BUFFER", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2, 3], [1, 2], [], [2, 3], [1, 2, 3]], pa.list_(pa.int64()))], ["terms"])
+    runs = [(c, k) for b in together.sorted_runs([batch]) for c, k in zip(*(b.column(n).to_pylist() for n in ("code", "k")))]
+    ordered = sorted(runs)
+    parts = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered[at : at + 2]], pa.int64()), pa.array([x[1] for x in ordered[at : at + 2]], pa.int64())], ["code", "k"]) for at in range(0, len(ordered), 2)]
+    merged = {c: k for b in together.merged_runs(parts) for c, k in zip(*(b.column(n).to_pylist() for n in ("code", "k")))}
+    assert merged == {(1 << 32) | 2: 3, (1 << 32) | 3: 2, (2 << 32) | 3: 3}
+    assert list(together.merged_runs([])) == []
+
+
+@pytest.mark.parametrize("held", [2, 200_000])
+def test_terms_as_by_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(term_counts, "HELD", held)
+    rows = [(f, (t or []) + (t or [])[:2] if t is not None else None) for f, t in baskets()]
+    records = [(f, t) for f, t in rows if t]
+    got = {(r.field, r.term): (r.occurrences, r.records, r.n) for r in term_counts.term_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    occurrences, in_records = Counter((f, x) for f, t in records for x in t), Counter((f, x) for f, t in records for x in set(t))
+    n = Counter(f for f, _ in records)
+    assert got == {k: (c, in_records[k], n[k[0]]) for k, c in occurrences.items()}
+
+
+def test_marks(spark):
+    rows = [("f", ["a"])] * 3 + [("f", ["b", "b"])] * 2 + [("f", ["c"])] * 40
+    marks = sorted(tuple(r) for r in term_counts.marked(term_counts.term_counts(spark.createDataFrame(rows, SCHEMA))).collect())
+    assert marks == [("f", "b", "rare"), ("f", "c", "common")]
+    assert sorted(r.mark for r in term_counts.marked(term_counts.term_counts(spark.createDataFrame([("f", ["x"])], SCHEMA))).collect()) == ["common", "rare"]
+    assert term_counts.term_counts(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -1,0 +1,63 @@
+from pathlib import Path
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from platewise.llm import token_ids as ti
+
+VOCABULARY = f"{ti.VOCABULARIES}/byte_bpe_50k.tiktoken"
+pytestmark = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary file")
+
+
+def other():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{ti.VOCABULARIES}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return t
+
+
+@given(st.text(max_size=60) | st.text("a b'st\n\t1é<|>½ 　", max_size=200))
+@settings(deadline=None, max_examples=300)
+def test_round_trip_and_other_library(text):
+    ids = ti.encoded(text, VOCABULARY)
+    assert ti.decoded(ids, VOCABULARY) == text.encode()
+    assert ids.tolist() == OTHER.encode(text, add_special_tokens=False).ids
+
+
+OTHER = other() if Path(VOCABULARY).exists() else None
+
+
+@given(st.text("ab ', \n1é\xa0　", max_size=120), st.integers(1, 20))
+@settings(deadline=None, max_examples=300)
+def test_slices_encode_as_the_whole(text, length):
+    parts = list(ti.slices(text, length))
+    assert "".join(parts) == text
+    assert [i for p in parts for i in ti.encoded(p, VOCABULARY)] == ti.encoded(text, VOCABULARY).tolist()
+
+
+def test_special_and_empty():
+    assert ti.encoded(None, VOCABULARY).tolist() == ti.encoded("", VOCABULARY).tolist() == []
+    assert 50256 not in ti.encoded("<|endoftext|>", VOCABULARY)
+    long = "a word, then 12 others;  and 'so on'\n" * 20_000
+    assert ti.encoded(long, VOCABULARY).tolist() == ti.encoding(VOCABULARY).encode_ordinary(long)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t\n", "\u3000"])
+def test_long_white_space(run):
+    for before in ("", "a b"):
+        for after in ("", "x", "1.", "\x1c"):
+            text = before + run * 70_000 + after
+            assert ti.encoded(text, VOCABULARY).tolist() == ti.encoding(VOCABULARY).encode_ordinary(text)
+    assert len(ti.encoded(" " * 1_500_000, VOCABULARY)) == 1_500_000
+
+
+def test_column(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, ""), (3, None), (4, "🍲 <|endoftext|>")], "ids long, text string")
+    out = df.select("ids", ti.token_ids(F.col("text"), VOCABULARY).alias("t"))
+    assert [len(r.t) for r in out.orderBy("ids").collect()][:4] == [2, 2, 0, 0]
+    back = out.select(ti.decoded_text(F.col("t"), VOCABULARY).cast("string").alias("b")).collect()
+    assert sorted(r.b for r in back) == ["", "", "a b", "a b", "🍲 <|endoftext|>"]
+    assert df.limit(0).select(ti.token_ids(F.col("text"), VOCABULARY)).collect() == []
