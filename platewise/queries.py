@@ -180,9 +180,12 @@ def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """The addresses of one sitemap document per sitemap."""
-    urls = table(spark, folder, "recipe_urls").filter("sitemap_id is not null").select("sitemap_id", F.concat(F.lit("<url><loc>"), F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</loc></url>")).alias("entry"))
-    documents = urls.groupBy(F.col("sitemap_id").alias("id")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list("entry"), ""), F.lit("</urlset>")).alias("xml"))
+    """The addresses in one sitemap document per staged page."""
+    safe = F.col("url")
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(raw), F.lit(entity))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), safe, F.lit("</loc></url></urlset>"))
+    documents = table(spark, folder, "recipe_urls").filter("sitemap_id is not null").select(F.col("sitemap_id").alias("id"), xml.alias("xml"))
     return sitemaps.sitemap_rows(documents, "xml", "id")
 
 
