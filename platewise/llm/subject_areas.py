@@ -31,6 +31,8 @@ LEAST_INFORMATION = 0.5
 SMOOTHING = 2.0
 #: A sentence's leading subject needs this weight and this share of the sentence's weight.
 LEAST_LEAD, LEAD_SHARE = 0.7, 0.5
+#: Weights are whole hundredths: their sums are small integers, which shuffle in a fraction of the space of doubles.
+UNIT = 100
 #: Share of the words of a document's subject sentences that makes a main subject.
 MAIN_SHARE = 0.2
 #: Subject sentences have at least so many words; shorter ones are headings and page furniture.
@@ -86,7 +88,7 @@ def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
     shares = [(F.col(f"s{k}") + SMOOTHING * p) / (F.col("n") + SMOOTHING) for k, p in enumerate(prior)]
     information = reduce(Column.__add__, (x * F.log(x / p) for x, p in zip(shares, prior) if p > 0), F.lit(0.0))
     known = evidence.withColumn("n", n).withColumn("information", information)
-    return known.select("term", "n", "information", *((F.pow("information", F.lit(2)) * x).alias(f"w{k}") for k, x in enumerate(shares)))
+    return known.select("term", "n", "information", *(F.round(UNIT * F.pow("information", F.lit(2)) * x).cast("int").alias(f"w{k}") for k, x in enumerate(shares)))
 
 
 def _verified(weights: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
         # Terms to documents.
         scores = edges.select("id", "term").join(_hinted(written(_verified(weights), "subject-verified")), "term").groupBy("id").agg(*strength)
         # Squares keep a document's one or two subjects apart from the traces that terms leave of others.
-        squares = [F.col(c) * F.col(c) for c in columns]
+        squares = [F.pow(c, F.lit(2)) for c in columns]
         shared = scores.withColumn("t", reduce(Column.__add__, squares)).select("id", *((x / F.col("t")).alias(f"p{k}") for k, x in enumerate(squares)))
         # Clamp the labels that hold.
         both = shared.join(_hinted(seeds), "id", "left")
@@ -157,7 +159,7 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
     said = edges.join(_hinted(written(_verified(weights), "subject-verified")), "term").groupBy("id", "sentence", "length").agg(*strength)
     lead = reduce(F.greatest, map(F.col, columns)) if count > 1 else F.col("s0")
     subject = F.coalesce(*(F.when(F.col(c) == F.col("lead"), k) for k, c in enumerate(columns)))
-    sentences = said.withColumn("lead", lead).filter((F.col("lead") >= LEAST_LEAD) & (F.col("lead") >= LEAD_SHARE * total))
+    sentences = said.withColumn("lead", lead).filter((F.col("lead") >= LEAST_LEAD * UNIT) & (F.col("lead") >= LEAD_SHARE * total))
     shares = sentences.withColumn("k", subject).groupBy("id").agg(*(F.sum(F.when(F.col("k") == k, F.col("length")).otherwise(0)).alias(c) for k, c in enumerate(columns)))
     main = F.array_compact(F.array(*(F.when(F.col(c) >= MAIN_SHARE * total, F.lit(s)) for c, s in zip(columns, subjects))))
     return shares.join(_hinted(seeds).select("id"), "id", "left_anti").select("id", F.explode(main).alias("subject"))
