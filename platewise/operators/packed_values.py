@@ -19,7 +19,8 @@ CLOSERS = {'"': '"', "'": "'", "“": "”", "„": "”“", "‘": "’", "«"
 APOSTROPHES = "'’"
 
 _HAS_QUOTE = re.compile("[\"'“„‘’«‹]")
-_SEPARATOR = re.compile(r"[^\w\s\-‐‑]|_|[^\S\xa0  　 ]")
+# Neither a letter, digit or hyphen, nor a space that only sets words apart.
+_SEPARATOR = re.compile("[^\\w\\s\\-‐‑]|_|[^\\S    　]")
 
 
 def _closing(text: str, start: int, opener: str) -> int:

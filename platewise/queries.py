@@ -39,22 +39,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The amounts, in thousandths of the common unit, of fields written in another unit."""
-    measured = (CALORIES, "energy_unit"), (FAT, "weight_unit"), (SUGAR, "weight_unit"), (SODIUM, "sodium_unit")
-    feeds = table(spark, folder, "feeds").select("feed", "energy_unit", "weight_unit", "sodium_unit")
-    rows = table(spark, folder, "parsed_recipes").select("id", "feed", "nutrition_note", *(q.field for q, _ in measured))
-    joined = rows.join(feeds, "feed", "left")
-    amounts = F.array(
-        *(
-            F.struct(
-                F.lit(q.field).alias("field"),
-                units.in_common_unit(F.col(q.field), F.coalesce(units.note_unit(F.col("nutrition_note"), q), F.col(unit)), q).alias("found"),
-            )
-            for q, unit in measured
-        )
-    )
-    cases = joined.select("id", F.inline(amounts)).filter(F.col("found").isNotNull())
-    milli = F.round(F.col("found.amount") * 1000).cast("long")
-    return cases.select("id", "field", milli.alias("amount_milli")).dropDuplicates()
+    measured = {CALORIES: "energy_unit", FAT: "weight_unit", SUGAR: "weight_unit", SODIUM: "sodium_unit"}
+    feeds = table(spark, folder, "feeds").select("feed", *sorted(set(measured.values())))
+    rows = table(spark, folder, "parsed_recipes").select("id", "feed", "nutrition_note", "parsed_at", *(q.field for q in measured))
+    found = units.in_common_units(rows.join(feeds, "feed", "left"), measured, key="id", note="nutrition_note", source="feed", at="parsed_at")
+    return found.select("id", "field", F.round(F.col("amount") * 1000).cast("long").alias("amount_milli"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

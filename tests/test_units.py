@@ -1,3 +1,7 @@
+from itertools import product
+from math import log
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +42,48 @@ from platewise.queries import CALORIES, FAT, SODIUM, SUGAR
 )
 def test_amounts(spark, quantity, text, note, bare, milli):
     df = spark.createDataFrame([(text, note, bare)], "t string, n string, b string")
-    found = units.in_common_unit(F.col("t"), F.coalesce(units.note_unit(F.col("n"), quantity), F.col("b")), quantity)
-    row = df.select(F.round(found["amount"] * 1000).alias("x")).first()
-    if text and text.startswith("999"):
-        assert row.x is None or row.x == float("inf") or row.x > 1e300
-    else:
-        assert row.x == milli
+    rows = df.select(F.lit(1).alias("k"), F.col("t").alias(quantity.field), "n", "b", F.lit("s").alias("s"), F.lit(0).alias("at"))
+    found = units.in_common_units(rows, {quantity: "b"}, key="k", note="n", source="s", at="at").collect()
+    assert [round(r.amount * 1000) for r in found if r.amount < 1e200] == ([] if milli is None else [milli])
+
+
+def test_rows(spark):
+    rows = [(1, "5 kJ", None, "a"), (1, "5 kJ", None, "a"), (2, None, "Energy in kJ", None), (None, "4.184 kJ", None, "b")]
+    df = spark.createDataFrame(rows, "id long, calories string, n string, s string").withColumns({"b": F.lit(None).cast("string"), "t": F.lit(0), "unit": F.lit("clash"), "amount": F.lit(-1)})
+    call = lambda d: units.in_common_units(d, {CALORIES: "b"}, key="id", note="n", source="s", at="t")
+    assert sorted((r.id or 0, round(r.amount, 3)) for r in call(df).collect()) == [(0, 1.0), (1, 1.195)]
+    assert call(df.limit(0)).collect() == []
+
+
+def test_viterbi_as_by_brute_force():
+    r = np.random.default_rng(4)
+    shifts = np.array([0.0, log(1 / 4.184), log(1000)])
+    for _ in range(40):
+        logs, stated = r.normal(6, 2, 6), np.where(r.random(6) < 0.3, r.integers(0, 3, 6), -1)
+
+        def score(path):
+            if any(s >= 0 and s != p for s, p in zip(stated, path)):
+                return -np.inf
+            own = sum(0.0 if s >= 0 else -0.5 * ((x + shifts[p] - 6) / 0.5) ** 2 for x, s, p in zip(logs, stated, path))
+            return own + sum(log(units.STAY) if a == b else log((1 - units.STAY) / 2) for a, b in zip(path, path[1:]))
+
+        path, _ = units.viterbi(logs, stated, shifts, 6.0, 0.5)
+        assert score(path) == pytest.approx(max(map(score, product(range(3), repeat=6))))
+
+
+@pytest.mark.parametrize("held", [3, 20_000])
+def test_unstated_units_are_decoded(spark, monkeypatch, held):
+    monkeypatch.setattr(units, "HELD", held)
+    r = np.random.default_rng(5)
+    rows, truth = [], {}
+    for k in range(400):
+        source, milligrams = ("big" if k % 3 else f"s{k % 9}"), k % 100 >= 50
+        amount = float(np.exp(r.normal(3, 0.5)))
+        number, unit = (amount * 1000, "mg") if milligrams else (amount, "g")
+        stated = k % 4 == 0
+        rows.append((k, f"{number:.2f} {unit if stated else ''}", source, 86_400 * (k // 100), "x"))
+        truth[k] = amount if milligrams else None
+    df = spark.createDataFrame(rows, "id long, fat string, s string, at long, n string").withColumns({"at": F.timestamp_seconds("at"), "b": F.lit(None).cast("string")})
+    found = {x.id: x.amount for x in units.in_common_units(df, {FAT: "b"}, key="id", note="n", source="s", at="at").collect()}
+    right = sum((found.get(k) is None) == (a is None) and (a is None or abs(found[k] - a) < 0.02) for k, a in truth.items())
+    assert right >= 390
