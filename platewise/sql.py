@@ -39,6 +39,38 @@ def _nutrition(field: str, unit: str) -> str:
     return f"try_cast(replace(data ->> '$.nutrition.{field}', '{unit}', '') as double)"
 
 
+#: Unit words as patterns, the unit's name and how much it is of kcal or g.
+_ENERGY = (("kcals?|kilocalories|kilocalorie|calories|calorie|cals?", "kcal", "1"), ("kj|kilojoules?", "kJ", "1 / 4.184"))
+_MASS = (
+    ("kg|kilograms?", "kg", "1000"), ("g|gr|grams?", "g", "1"), ("mg|milligrams?", "mg", "0.001"),
+    ("mcg|µg|μg|micrograms?", "mcg", "0.000001"), ("oz|ounces?", "oz", "28.349523125"),
+)
+_ALL = "|".join(p for p, *_ in (*_ENERGY, *_MASS))
+#: Field, its words and units in notes, the feed's column, the common unit and how much that is of kcal or g.
+_MEASURED = (
+    ("calories", "energy|calories", "kcals?|kilocalories|kilocalorie|kj|kilojoules?", "energy_unit", "kcal", "1"),
+    ("fat", "fat", "|".join(p for p, *_ in _MASS), "weight_unit", "g", "1"),
+    ("sugar", "sugar", "|".join(p for p, *_ in _MASS), "weight_unit", "g", "1"),
+    ("sodium", "sodium", "|".join(p for p, *_ in _MASS), "sodium_unit", "mg", "0.001"),
+)
+_UNIT = "case " + " ".join(f"when regexp_full_match({{0}}, '{p}') then '{n}'" for p, n, _ in (*_ENERGY, *_MASS)) + " end"
+_SIZE = "case unit " + " ".join(f"when '{n}' then {f}" for _, n, f in (*_ENERGY, *_MASS)) + " end"
+
+
+def _measured(field: str, named: str, words: str, feed_unit: str, common: str, size: str) -> str:
+    unit = rf"(?:^|[^\p{{L}}])({words})(?:[^\p{{L}}]|$)"
+    after = rf"regexp_extract(lower(nutrition_note), '(?:{named})\b[^.;,]*?{unit}', 1)"
+    before = rf"regexp_extract(lower(nutrition_note), '{unit}\s*for\s[^.;,]*?(?:{named})\b', 1)"
+    note = f"coalesce(nullif({before}, ''), nullif({after}, ''))"
+    family = ", ".join(f"'{n}'" for _, n, _ in (_ENERGY if field == "calories" else _MASS))
+    return rf"""select id, '{field}' field, '{common}' common, {size} base, regexp_replace({field}, '\d+(?:[.,]\d+)?\s*%', ' ', 'g') t,
+    list_filter(list_transform(regexp_extract_all(lower({field}), '(?:^|[^\p{{L}}])({_ALL})(?:[^\p{{L}}]|$)', 1), lambda w: {_UNIT.format('w')}), lambda u: u in ({family})) own,
+    coalesce({_UNIT.format(note)}, {feed_unit}) bare
+  from (select distinct id, feed, nutrition_note, {field} from parsed_recipes where {field} is not null) left join feeds using (feed)"""
+
+
+_NUMBER = r"(?:(\d+)[ \x{00A0}]+)?(\d+)/(\d+)|(\d+)?[ \x{00A0}]?([¼½¾⅛])|(\d+(?:[, \x{00A0}]\d{3})*)([.,]\d+)?"
+
 SQL: dict[str, str] = {
     "facet_categories": rf"""
 select distinct regexp_replace(c, '{_ENDS}', '', 'g') category from (select unnest(string_split(lower(category), ',')) c from recipes where category is not null)""",
@@ -90,4 +122,44 @@ select id, unnest(range(0, len(l)))::integer pos, unnest(l) ingredient from (sel
 select (place // 3)::bigint line, list(cuisine order by place) cells from (
   select cuisine, row_number() over (order by cuisine) - 1 as place from (select distinct cuisine from recipes where cuisine is not null)) group by 1""",
     "p3_found": f"select tbl, id, n::integer pos, v item from ({_packed('recipes', 'category')} union all {_packed('parsed_recipes', 'keywords')})",
+    "p4_found": rf"""
+with texts as ({' union all '.join(_measured(*m) for m in _MEASURED)}),
+parts as (select *, regexp_extract(t, '{_NUMBER}', ['w', 'a', 'b', 'v', 's', 'i', 'd']) p from texts where regexp_matches(t, '\d|[¼½¾⅛]')),
+amounts as (
+  select id, field, common, base, own, coalesce(own[1], bare) unit,
+    case when p.b <> '' then coalesce(try_cast(p.w as double), 0) + cast(p.a as double) / nullif(cast(p.b as double), 0)
+      when p.s <> '' then coalesce(try_cast(p.v as double), 0) + case p.s when '¼' then 0.25 when '½' then 0.5 when '¾' then 0.75 else 0.125 end
+      else cast(regexp_replace(p.i, '[, \x{{00A0}}]', '', 'g') || replace(p.d, ',', '.') as double) end amount
+  from parts)
+select distinct id, field, cast(round(amount * ({_SIZE}) / base * 1000) as bigint) amount_milli from amounts
+where unit <> common and amount is not null and not list_contains(own, common)""",
+    "p7_found": """
+with recursive valid as (select id, case when json_valid(data) then data end data from recipe_urls),
+spelt as (select id, case when json_type(data) = 'VARCHAR' and json_valid(data ->> '$') then data ->> '$' else data end data from valid),
+docs as (select row_number() over () r, id, case when json_type(data) = 'VARCHAR' and json_valid(data ->> '$') then data ->> '$' else data end data from spelt where data is not null),
+tree as materialized (select r, d.id doc, t.id nid, t.parent up, t.key, t.type, t.atom from docs d, json_tree(d.data) t),
+roots as (
+  select r, doc, min(root) root from (
+    select t.r, t.doc, t.up root from tree t where t.key = '@type' and t.atom ->> '$' = 'Recipe'
+    union all
+    select t.r, t.doc, a.up from tree t join tree a on a.r = t.r and a.nid = t.up and a.key = '@type' and a.type = 'ARRAY' where t.atom ->> '$' = 'Recipe')
+  group by r, doc),
+walk as (
+  select t.r, t.doc, t.nid, t.type, t.key label, '' path, '' parent_node, false placed
+  from roots o join tree t on t.r = o.r and t.up = o.root and t.key in ('recipeInstructions', 'review')
+  union all
+  select t.r, t.doc, t.nid, t.type, case when w.type = 'ARRAY' then w.label else t.key end,
+    case when w.type = 'ARRAY' then case when w.path = '' then t.key else w.path || '.' || t.key end else case when w.placed then w.path when w.path = '' then '0' else w.path || '.0' end end,
+    case when w.type = 'ARRAY' then w.parent_node when w.placed then w.path when w.path = '' then '0' else w.path || '.0' end,
+    w.type = 'ARRAY'
+  from walk w join tree t on t.r = w.r and t.up = w.nid
+  where w.type = 'ARRAY' or w.type = 'OBJECT' and (w.label in ('recipeInstructions', 'itemListElement') and t.key = 'itemListElement' or w.label in ('review', 'comment') and t.key = 'comment')),
+found as (
+  select w.doc id, w.label, w.type, case when placed then path when path = '' then '0' else path || '.0' end node, parent_node,
+    exists(select 1 from tree t where t.r = w.r and t.up = w.nid and t.key = 'itemListElement') listed,
+    exists(select 1 from tree t where t.r = w.r and t.up = w.nid and t.key = 'text') texted
+  from walk w where w.type in ('OBJECT', 'VARCHAR'))
+select id, case when label = 'review' then 'review' when label = 'comment' then 'reply' when type = 'OBJECT' and listed then 'section' else 'step' end kind, node, parent_node
+from found
+where case when label in ('review', 'comment') then type = 'OBJECT' else type = 'VARCHAR' or listed or texted end""",
 }
