@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written once to the shared folder and read back; the files go when Python ends."""
+    """``df`` written once to the shared folder and read back. The files go with :func:`clear`, at the latest when Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -36,8 +36,10 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Remove all stages written so far. Results that were not yet consumed can't be after this."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

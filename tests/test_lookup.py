@@ -1,0 +1,17 @@
+import pytest
+from pyspark.sql import functions as F
+
+from platewise.operators import lookup
+
+
+@pytest.mark.parametrize(("small", "least"), [(100, 10), (0, 10), (0, 10_000)])
+def test_same_rows_by_any_plan(spark, monkeypatch, small, least):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(lookup, "LEAST_HOT", least)
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 40}" if k % 4 else None) for k in range(300)], "n long, key string")
+    table = rows.groupBy("key").agg(F.count("*").alias("times")).withColumn("code", F.xxhash64("key")).filter("code % 2 <> 5")
+    got = lookup.looked_up(rows, table, "key", "times")
+    want = rows.join(table.drop("times"), "key")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert lookup.looked_up(rows.limit(0), table, "key", "times").collect() == lookup.looked_up(rows, table.limit(0), "key", "times").collect() == []
