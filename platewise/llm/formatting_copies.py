@@ -14,12 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.operators.lookup import looked_up
 from platewise.stage import written
 
-#: Keys of more than one in so many records are joined by broadcast, so that no task gathers them. A record has a
-#: few pieces, so there are at most some thousand such keys, however large the tables.
-HOT_SHARE = 1000
-
 
 def canonical(piece: str | None) -> str:
     """The letters and digits of the NFC form, case aside; '' for null."""
@@ -62,18 +59,6 @@ def address_pieces(url: Column) -> Column:
     return _pieces(whole, F.split(after, "[&;]"))
 
 
-def _looked_up(rows: DataFrame, codes: DataFrame, key: str, times: str, limit: int) -> DataFrame:
-    """``rows`` joined with the ``code`` of their ``key``, each key in ``codes`` with how many ``times`` rows have it.
-
-    Keys of more than ``limit`` rows, of which there can be few, are joined by broadcast; the rest by shuffle.
-    """
-    hot = codes.filter(F.col(times) > limit).select(key, F.col("code").alias("hot"))
-    known = rows.join(F.broadcast(hot), key, "left")
-    rest = codes.filter(F.col(times) <= limit).select(key, "code")
-    cold = known.filter("hot is null").drop("hot").join(rest, key)
-    return known.filter("hot is not null").withColumnRenamed("hot", "code").select(*rows.columns, "code").unionByName(cold.select(*rows.columns, "code"))
-
-
 def formatting_copies(records: DataFrame) -> DataFrame:
     """(tbl, id, copies): a row per group of records of one table that differ only in formatting.
 
@@ -85,13 +70,12 @@ def formatting_copies(records: DataFrame) -> DataFrame:
     # Texts written alike are one record from here on, however many they are.
     same = records.filter(F.col("pieces").isNotNull()).groupBy("tbl", "pieces").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     same = written(same.withColumn("rec", F.monotonically_increasing_id()), "copies-records")
-    limit = max(10_000, same.count() // HOT_SHARE)
     pieces = same.select("rec", F.inline("pieces"))
     raws = written(pieces.groupBy("raw").agg(F.count(F.lit(1)).alias("held")).withColumn("form", _canonical("raw")), "copies-raws")
     forms = raws.groupBy("form").agg(F.count(F.lit(1)).alias("spelt"))
     forms = written(forms.withColumn("code", F.monotonically_increasing_id()), "copies-forms")
-    codes = written(_looked_up(raws, forms, "form", "spelt", limit).select("raw", "held", "code"), "copies-codes")
-    coded = _looked_up(pieces, codes, "raw", "held", limit).select("rec", "kind", "code")
+    codes = written(looked_up(raws, forms, "form", "spelt").select("raw", "held", "code"), "copies-codes")
+    coded = looked_up(pieces, codes, "raw", "held").select("rec", "kind", "code")
     tuples = coded.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("kind", "code"))).alias("record"))
     joined = tuples.join(same.select("rec", "tbl", "id", "copies"), "rec")
     return joined.groupBy("tbl", "record").agg(F.min("id").alias("id"), F.sum("copies").alias("copies")).select("tbl", "id", "copies")

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from platewise.operators.lookup import looked_up
 from platewise.stage import written
 
 #: Words of a seed n-gram, and words kept on either side of hits for the alignment.
 GRAM, MARGIN = 8, 24
 #: Distinct n-grams of the evaluation texts (8 bytes each) up to which tasks filter documents by a broadcast list;
 #: beyond, all n-grams of the corpus are joined by shuffle.
-BROADCAST_GRAMS = 4_000_000
+BROADCAST_GRAMS = 1_000_000
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -152,7 +153,7 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> Da
     sought = items.select(F.explode("grams").alias("gram")).distinct()
     listed = None
     if sought.count() <= BROADCAST_GRAMS:
-        listed = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in sought.collect()], np.int64).view(np.uint64)))
+        listed = spark.sparkContext.broadcast(np.sort(sought.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64)))
     passages = docs.mapInArrow(_passages(listed), f"doc {id_type}, words array<long>, grams array<long>")
     passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "leaked-passages")
     hits = passages.select("passage", "doc", F.explode("grams").alias("gram"))
@@ -165,8 +166,8 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> Da
     length = items.select("item", F.size("words").alias("length"))
     windows = places.select("item", "gram", "held", starts).join(length, "item").filter(F.col("start") + window <= F.col("length"))
     rarest = F.row_number().over(Window.partitionBy("item", "start").orderBy("held", "gram"))
-    seeds = windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram").distinct()
-    pairs = hits.join(seeds, "gram").select("passage", "item").distinct()
+    seeds = written(windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram", "held").distinct(), "leaked-seeds")
+    pairs = looked_up(hits, seeds, "gram", "held").select("passage", "item").distinct()
     joined = pairs.join(passages.select("passage", "doc", F.col("words").alias("passage_words")), "passage").join(items.select("item", "words"), "item")
     ready = joined.select("doc", "item", F.col("passage_words").alias("passage"), "words")
     scored = ready.mapInArrow(_align, f"doc {id_type}, item {item_type}, score int, run int")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.text import term_set
+from platewise.operators.lookup import looked_up
 from platewise.stage import written
 
 #: Postings of one term that one group holds; more are split into pairs of blocks.
@@ -160,8 +161,8 @@ def class_links(classes: DataFrame, threshold: Fraction = Fraction(4, 5), block:
     occurrences = classes.select("cls", "field", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     # A term of one class alone joins nothing; such terms only count towards sizes.
     shared = occurrences.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranks = written(shared.orderBy("df", "field", "term").select("field", "term", F.monotonically_increasing_id().alias("rank")), "set-terms")
-    ranked = occurrences.join(ranks, ["field", "term"]).groupBy("cls", "n").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    ranks = written(shared.orderBy("df", "field", "term").select("field", "term", "df", F.monotonically_increasing_id().alias("rank")), "set-terms")
+    ranked = looked_up(occurrences, ranks, ["field", "term"], "df").groupBy("cls", "n").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
     least = F.ceil(F.col("n") * threshold.numerator / F.lit(float(threshold.denominator)) - F.lit(1e-9)).cast("int")
     # Of the first n - least + 1 terms, those of one class alone come first.
     prefix = F.size("ranks") - least + 1
@@ -192,8 +193,9 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: Fr
     equal = classes.filter("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     linked = written(links.unionByName(equal), "set-links")
     wanted = linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    keys = classes.select("cls", "field", "print").join(wanted, "cls", "left_semi")
-    members = written(records.select("field", _print(F.col("terms")), "side", "id").join(keys, ["field", "print"]).select("cls", "field", "side", "id").distinct(), "set-members")
+    keys = written(classes.select("cls", "field", "print", "copies").join(wanted, "cls", "left_semi"), "set-keys")
+    prints = records.select("field", _print(F.col("terms")), "side", "id")
+    members = written(looked_up(prints, keys, ["field", "print"], "copies").select("cls", "field", "side", "id").distinct(), "set-members")
     a = members.select(F.col("cls").alias("cls_a"), "field", F.col("side").alias("side_a"), F.col("id").alias("a"))
     b = members.select(F.col("cls").alias("cls_b"), F.col("side").alias("side_b"), F.col("id").alias("b"))
     pairs = linked.join(a, "cls_a").join(b, "cls_b")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.lookup import hinted, looked_up
 from platewise.stage import written
 
 #: Documents that a term must occur in, and labelled documents or sentences that must speak for its subjects.
@@ -39,8 +40,6 @@ MAIN_SHARE = 0.2
 LEAST_WORDS = 4
 #: A label is trusted unless its share of the document is less than this while another subject has ``CONTRADICTED`` or more.
 LEAST_TRUST, CONTRADICTED = 0.05, 0.5
-#: Rows up to which a side of a join is broadcast (a few dozen MB at most); beyond, both are shuffled.
-BROADCAST_ROWS = 500_000
 
 _SENTENCE = re.compile(r"[.!?;\n|<>]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -73,11 +72,6 @@ def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "terms", "sentences", "lengths"])
 
 
-def _hinted(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it is known to be small. It must be a written stage."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
     """(term, n, information, w0, w1, ...) of (term, s0, s1, ...): how strongly a term speaks for each subject.
 
@@ -91,8 +85,10 @@ def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
     return known.select("term", "n", "information", *(F.round(UNIT * F.pow("information", F.lit(2)) * x).cast("int").alias(f"w{k}") for k, x in enumerate(shares)))
 
 
-def _verified(weights: DataFrame) -> DataFrame:
-    return weights.filter((F.col("n") >= LEAST_EVIDENCE) & (F.col("information") >= LEAST_INFORMATION))
+def _verified(weights: DataFrame, kept: DataFrame) -> DataFrame:
+    """The terms that link documents, with the number of documents that have each."""
+    telling = weights.filter((F.col("n") >= LEAST_EVIDENCE) & (F.col("information") >= LEAST_INFORMATION))
+    return written(telling.join(kept, "term").drop("n", "information"), "subject-verified")
 
 
 def _prior(scores: DataFrame, count: int) -> list[float]:
@@ -125,7 +121,7 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
         return documents.select("id", F.lit("").alias("subject")).limit(0)
 
     # First round: terms of labelled documents, each document counting once for a term.
-    labelled = graph.select("id", F.array_distinct("terms").alias("terms")).join(_hinted(seeds), "id")
+    labelled = graph.select("id", F.array_distinct("terms").alias("terms")).join(hinted(seeds), "id")
     sums = [F.sum(c).alias(c) for c in columns]
     evidence = labelled.select(*columns, F.explode("terms").alias("term")).groupBy("term").agg(*sums)
     weights = written(_weights(evidence, prior), "subject-weights")
@@ -133,33 +129,33 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
     # Edges of terms that occur in several documents, but for those that labels show to say little.
     spread = graph.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= LEAST_DOCUMENTS)
     vague = weights.filter((F.col("n") >= LEAST_EVIDENCE) & (F.col("information") < LEAST_INFORMATION / 2)).select("term")
-    kept = written(spread.join(vague, "term", "left_anti").select("term"), "subject-terms")
+    kept = written(spread.join(vague, "term", "left_anti").select("term", "held"), "subject-terms")
     flat = graph.select("id", F.inline(F.arrays_zip("terms", "sentences", "lengths"))).select("id", F.col("terms").alias("term"), F.col("sentences").alias("sentence"), F.col("lengths").alias("length"))
-    edges = written(flat.join(_hinted(kept), "term"), "subject-edges")
+    edges = written(looked_up(flat, kept, "term", "held"), "subject-edges")
 
     strength = [F.sum(f"w{k}").alias(c) for k, c in enumerate(columns)]
     for _ in range(rounds - 1):
         # Terms to documents.
-        scores = edges.select("id", "term").join(_hinted(written(_verified(weights), "subject-verified")), "term").groupBy("id").agg(*strength)
+        scores = looked_up(edges.select("id", "term"), _verified(weights, kept), "term", "held").groupBy("id").agg(*strength)
         # Squares keep a document's one or two subjects apart from the traces that terms leave of others.
         squares = [F.pow(c, F.lit(2)) for c in columns]
         shared = scores.withColumn("t", reduce(Column.__add__, squares)).select("id", *((x / F.col("t")).alias(f"p{k}") for k, x in enumerate(squares)))
         # Clamp the labels that hold.
-        both = shared.join(_hinted(seeds), "id", "left")
+        both = shared.join(hinted(seeds), "id", "left")
         trust = reduce(Column.__add__, (F.when(F.col(c) > 0, F.col(f"p{k}")).otherwise(0.0) for k, c in enumerate(columns)))
         other = reduce(F.greatest, (F.when(F.col(c) > 0, 0.0).otherwise(F.col(f"p{k}")) for k, c in enumerate(columns))) if count > 1 else F.lit(0.0)
         clamped = F.col("s0").isNotNull() & ~((trust < LEAST_TRUST) & (other >= CONTRADICTED))
         scores = written(both.select("id", *(F.when(clamped, F.col(c)).otherwise(F.col(f"p{k}")).alias(c) for k, c in enumerate(columns))), "subject-scores")
         # Documents to terms.
         prior = _prior(scores, count)
-        evidence = edges.select("id", "term").join(_hinted(scores), "id").groupBy("term").agg(*sums)
+        evidence = edges.select("id", "term").join(hinted(scores), "id").groupBy("term").agg(*sums)
         weights = written(_weights(evidence, prior), "subject-weights")
 
     # The subject of each sentence, and each subject's share of the document.
-    said = edges.join(_hinted(written(_verified(weights), "subject-verified")), "term").groupBy("id", "sentence", "length").agg(*strength)
+    said = looked_up(edges, _verified(weights, kept), "term", "held").groupBy("id", "sentence", "length").agg(*strength)
     lead = reduce(F.greatest, map(F.col, columns)) if count > 1 else F.col("s0")
     subject = F.coalesce(*(F.when(F.col(c) == F.col("lead"), k) for k, c in enumerate(columns)))
     sentences = said.withColumn("lead", lead).filter((F.col("lead") >= LEAST_LEAD * UNIT) & (F.col("lead") >= LEAD_SHARE * total))
     shares = sentences.withColumn("k", subject).groupBy("id").agg(*(F.sum(F.when(F.col("k") == k, F.col("length")).otherwise(0)).alias(c) for k, c in enumerate(columns)))
     main = F.array_compact(F.array(*(F.when(F.col(c) >= MAIN_SHARE * total, F.lit(s)) for c, s in zip(columns, subjects))))
-    return shares.join(_hinted(seeds).select("id"), "id", "left_anti").select("id", F.explode(main).alias("subject"))
+    return shares.join(hinted(seeds).select("id"), "id", "left_anti").select("id", F.explode(main).alias("subject"))

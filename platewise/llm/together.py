@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.lookup import looked_up
 from platewise.stage import written
 
 #: Codes that a mapper holds before it sorts and counts them (32 MB).
 BUFFER = 4_000_000
-#: Rows of a dictionary that may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
 RUN = "code long, k long"
 
 
@@ -108,16 +107,13 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
     offsets = _running(before)
     dictionary = ordered.join(F.broadcast(offsets), "part").select("field", "term", "held", "n", (F.col("offset") + F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))).alias("tid"))
     dictionary = written(dictionary, "together-dictionary")
-    small = dictionary.count() <= BROADCAST_ROWS
-    lookup = dictionary.select("field", "term", "tid")
-    coded = rows.select("rec", "field", "term").join(F.broadcast(lookup) if small else lookup, ["field", "term"])
+    coded = looked_up(rows.select("rec", "field", "term"), dictionary.select("field", "term", "tid", "held"), ["field", "term"], "held")
     lists = coded.groupBy("rec").agg(F.array_sort(F.collect_list("tid")).alias("terms")).filter(F.size("terms") > 1).select("terms")
     runs = lists.mapInArrow(sorted_runs, RUN)
     counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(merged_runs, RUN).filter(F.col("k") >= least)
-    side = lambda c: dictionary.select(F.col("tid").alias(f"tid_{c}"), *([F.col("field"), F.col("n")] if c == "a" else []), F.col("term").alias(f"term_{c}"), F.col("held").alias(f"in_{c}"))
-    hint = F.broadcast if small else lambda df: df
+    side = lambda c: dictionary.select(F.col("tid").alias(f"tid_{c}"), *([F.col("field"), F.col("n")] if c == "a" else []), F.col("term").alias(f"term_{c}"), F.col("held").alias(f"in_{c}"), F.col("held").alias("times"))
     split = counted.select(F.shiftright("code", 32).alias("tid_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("tid_b"), "k")
-    named = split.join(hint(side("a")), "tid_a").join(hint(side("b")), "tid_b")
+    named = looked_up(looked_up(split, side("a"), "tid_a", "times"), side("b"), "tid_b", "times")
     if share is not None:
         named = named.filter(F.col("k") * share >= F.col("n"))
     both, a, b, neither = F.col("k") + 0.5, F.col("in_a") - F.col("k") + 0.5, F.col("in_b") - F.col("k") + 0.5, F.col("n") - F.col("in_a") - F.col("in_b") + F.col("k") + 0.5

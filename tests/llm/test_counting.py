@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from platewise.llm import term_counts, together
+from platewise.operators import lookup
 
 SCHEMA = "field string, terms array<string>"
 
@@ -21,7 +22,8 @@ def baskets(count=400):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_pairs_as_by_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(together, "BROADCAST_ROWS", 1000 if small else 0)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1000 if small else 0)
+    monkeypatch.setattr(lookup, "LEAST_HOT", 20)
     rows = baskets()
     n = Counter(f for f, t in rows if t)
     held = Counter((f, x) for f, t in rows for x in t or ())

@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from platewise.llm import formatting_copies as fc
+from platewise.operators import lookup
 
 
 def names(spark, *rows, pieces=fc.title_pieces):
@@ -32,7 +33,8 @@ def test_empty(spark):
 
 
 def test_as_by_brute_force_with_hot_pieces(spark, monkeypatch):
-    monkeypatch.setattr(fc, "max", lambda *_: 3, raising=False)  # every piece held by more than three is hot
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookup, "LEAST_HOT", 3)
     texts = [f"{'T' if k % 2 else 't'}-{k % 7} [{';'.join(sorted({str(k % 3), 'n' + '!' * (k % 4)}, reverse=k % 5 == 0))}]" for k in range(200)]
 
     def key(text):

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from platewise.llm import similar_sets as ss
+from platewise.operators import lookup
 
 LISTS = st.lists(st.lists(st.integers(0, 12), max_size=8).map(lambda x: sorted(set(x))), max_size=6)
 
@@ -41,9 +42,11 @@ def random_sets(seed, count=150):
     return base + near
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-@pytest.mark.parametrize("threshold", [Fraction(4, 5), Fraction(1, 2), Fraction(1)])
+@pytest.mark.parametrize(("block", "threshold"), [(2, Fraction(4, 5)), (4096, Fraction(4, 5)), (3, Fraction(1, 2)), (4096, Fraction(1))])
 def test_pairs_as_by_brute_force(spark, monkeypatch, block, threshold):
+    if block < 10:
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(lookup, "LEAST_HOT", 10)
     monkeypatch.setattr(ss.class_links, "__defaults__", (Fraction(4, 5), block))
     sets = random_sets(block)
     rows = [("f", k, sorted(s)) for k, s in enumerate(sets) if s]

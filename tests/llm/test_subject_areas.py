@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from platewise.llm import subject_areas as sa
+from platewise.operators import lookup
 
 
 def tables(spark):
@@ -12,9 +13,10 @@ def tables(spark):
     return documents, labels, sorted(r.subject for r in read("subject_areas").collect())
 
 
-@pytest.mark.parametrize("rows", [500_000, 0])
+@pytest.mark.parametrize("rows", [200_000, 0])
 def test_held_out_labels(spark, monkeypatch, rows):
-    monkeypatch.setattr(sa, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(lookup, "LEAST_HOT", 100)
     documents, labels, subjects = tables(spark)
     known = labels.filter("id % 5 <> 0")
     found = {tuple(r) for r in sa.main_subjects(documents, known, subjects).collect()}
