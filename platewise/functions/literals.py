@@ -20,7 +20,7 @@ def literal(text: str | None) -> list[str | None] | None:
         return None
     if not isinstance(value, (list, tuple)):
         return None
-    return [None if v is None else str(v) for v in value]
+    return [None if v is None else str(v).encode("utf-8", "replace").decode() for v in value]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

@@ -132,10 +132,10 @@ def _spelt(text: str) -> object:
 def shredded(df: DataFrame, json_column: str, key: str) -> DataFrame:
     """The adjacency table of a JSON column: ``key`` and the columns of ``NODE``.
 
-    Null and broken texts give no rows. Repeated rows give repeated nodes. One Arrow pass, no shuffle.
+    A key that is named like one of those comes out as ``record``. Null and broken texts give no rows. Repeated rows give repeated nodes. One Arrow pass, no shuffle.
     """
     tree = df.select(F.col(f"`{key}`").alias("__key"), _shred.asNondeterministic()(F.col(f"`{json_column}`")).alias("__nodes"))
-    return tree.select(F.col("__key").alias(key), F.inline("__nodes"))
+    return tree.select(F.col("__key").alias("record" if key in NODE.names else key), F.inline("__nodes"))
 
 
 @F.arrow_udf(T.ArrayType(NODE))
@@ -150,13 +150,20 @@ def _rows(text: str | None, walk) -> list:
         return []
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:  # an escape spelt half of a surrogate pair
+        return pa.array([v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for v in values], kind)
+
+
 def _columns(rows: list[list], struct: pa.StructType = _NODE_ARROW) -> pa.Array:
     flat = [r for one in rows for r in one]
     ends = [0]
     for one in rows:
         ends.append(ends[-1] + len(one))
     parts = list(zip(*flat)) if flat else [[] for _ in struct]
-    values = pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, struct)], fields=list(struct))
+    values = pa.StructArray.from_arrays([_array(p, f.type) for p, f in zip(parts, struct)], fields=list(struct))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
@@ -246,9 +253,9 @@ def entities(text: Column) -> Column:
 def recipe_tables(df: DataFrame, json_column: str, key: str) -> DataFrame:
     """Sections, steps, reviews and replies of the recipe in each JSON text, a row each.
 
-    Columns: ``key``, kind, node, parent_node, text, name. Filter by kind for one entity's table; join
+    Columns: ``key`` (as ``record`` if it is named like another), kind, node, parent_node, text, name. Filter by kind for one entity's table; join
     (key, parent_node) with (key, node) of the container's kind to go up. Rows whose text is null, broken or
     holds no recipe give nothing; repeated rows give repeated entities.
     """
     rows = df.select(F.col(f"`{key}`").alias("__key"), entities(F.col(f"`{json_column}`")).alias("__entities"))
-    return rows.select(F.col("__key").alias(key), F.inline("__entities"))
+    return rows.select(F.col("__key").alias("record" if key in _ENTITY_FIELDS else key), F.inline("__entities"))

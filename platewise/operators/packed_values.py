@@ -93,11 +93,11 @@ def unpacked(df: DataFrame, field: str, least: int = 1) -> DataFrame:
     """``df`` without ``field``, with ``pos`` (from 1) and ``item``: a row per value.
 
     Rows whose field holds fewer than ``least`` values (null and blank fields hold none) give no row.
-    Repeated input rows give repeated rows. Columns of ``df`` named pos or item are an error of the
-    caller; select before. There is no shuffle: the work is one Arrow call per batch.
+    Repeated input rows give repeated rows. Other columns of ``df`` that are named pos or item are replaced. There is no
+    shuffle: the work is one Arrow call per batch.
     """
-    rest = [F.col(f"`{c}`") for c in df.columns if c != field]
-    split = df.select(*rest, split_values(F.col(f"`{field}`")).alias("__values"))
-    kept = split.filter(F.size("__values") >= least)
-    names = [F.col(f"`{c}`") for c in df.columns if c != field]
-    return kept.select(*names, F.posexplode("__values").alias("pos", "item")).withColumn("pos", F.col("pos") + 1)
+    # Kept in a struct, so that no name can clash on the way.
+    rest = [c for c in df.columns if c != field and c.lower() not in ("pos", "item")]
+    split = df.select(F.struct(F.lit(0).alias("__row"), *(F.col(f"`{c}`") for c in rest)).alias("row"), split_values(F.col(f"`{field}`")).alias("values"))
+    rows = split.filter(F.size("values") >= least).select("row", F.posexplode("values").alias("pos", "item"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in rest), (F.col("pos") + 1).alias("pos"), "item")

@@ -72,7 +72,10 @@ def test_tables(spark):
     assert out.count() == 2 * len(WANT)
     assert nr.recipe_tables(df.limit(0), "data", "kind").count() == 0
     nodes = nr.shredded(df, "data", "kind")
-    assert nodes.columns == ["kind", "node", "parent", "label", "ord", "kind", "scalar"]
+    assert nodes.columns == ["record", "node", "parent", "label", "ord", "kind", "scalar"]
     assert nodes.filter("scalar = 'Recipe' and ord = 0").count() == 2
+    half = spark.createDataFrame([(1, '{"@type": "Recipe", "recipeInstructions": "\\ud83c", "\\ud83c": 1}')], "id long, data string")
+    assert [r.text for r in nr.recipe_tables(half, "data", "id").collect()] == ["?"]
+    assert nr.shredded(half, "data", "id").count() == 4
     steps = out.filter("text = 'b'").collect()
     assert [s.parent_node for s in steps] == ["2", "2"]

@@ -39,4 +39,6 @@ def test_rows(spark):
     assert got == [(0, 1, "p"), (0, 2, "q"), (1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (1, 2, "b")]
     assert out.filter("id = 5").count() == 20_000
     assert unpacked(df.limit(0), "packed").count() == 0
+    clash = spark.createDataFrame([("x", "y", "a|b", 1)], "Item string, pos string, values string, row int")
+    assert [tuple(r) for r in unpacked(clash, "values").collect()] == [(1, 1, "a"), (1, 2, "b")]
     assert unpacked(df.withColumnRenamed("id", "a.b c"), "packed").columns == ["a.b c", "pos", "item"]
