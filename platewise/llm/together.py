@@ -92,7 +92,8 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
     Null and empty arrays are no records; empty tables give no pairs.
     """
     records = records.filter(F.size("terms") > 0)
-    numbered = records.select(F.monotonically_increasing_id().alias("rec"), "field", "terms")
+    # Read twice, for the terms and for the pairs.
+    numbered = written(records.select(F.monotonically_increasing_id().alias("rec"), "field", "terms"), "together-records")
     rows = numbered.select("rec", "field", F.posexplode("terms").alias("pos", "term"))
     # Each record counts once for n, at its first term.
     totals = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("pos") == 0).alias("first"))
