@@ -72,8 +72,8 @@ def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "terms", "sentences", "lengths"])
 
 
-def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
-    """(term, n, information, w0, w1, ...) of (term, s0, s1, ...): how strongly a term speaks for each subject.
+def _weights(evidence: DataFrame, key: str, prior: list[float]) -> DataFrame:
+    """(key, n, information, w0, w1, ...) of (key, s0, s1, ...), the key being a term: how strongly a term speaks for each subject.
 
     The square of the information makes a few telling terms outweigh many vague ones.
     """
@@ -82,13 +82,13 @@ def _weights(evidence: DataFrame, prior: list[float]) -> DataFrame:
     shares = [(F.col(f"s{k}") + SMOOTHING * p) / (F.col("n") + SMOOTHING) for k, p in enumerate(prior)]
     information = reduce(Column.__add__, (x * F.log(x / p) for x, p in zip(shares, prior) if p > 0), F.lit(0.0))
     known = evidence.withColumn("n", n).withColumn("information", information)
-    return known.select("term", "n", "information", *(F.round(UNIT * F.pow("information", F.lit(2)) * x).cast("int").alias(f"w{k}") for k, x in enumerate(shares)))
+    return known.select(key, "n", "information", *(F.round(UNIT * F.pow("information", F.lit(2)) * x).cast("int").alias(f"w{k}") for k, x in enumerate(shares)))
 
 
 def _verified(weights: DataFrame, kept: DataFrame) -> DataFrame:
     """The terms that link documents, with the number of documents that have each."""
     telling = weights.filter((F.col("n") >= LEAST_EVIDENCE) & (F.col("information") >= LEAST_INFORMATION))
-    return written(telling.join(kept, "term").drop("n", "information"), "subject-verified")
+    return written(telling.join(kept.select("code", "held"), "code").drop("n", "information"), "subject-verified")
 
 
 def _prior(scores: DataFrame, count: int) -> list[float]:
@@ -124,19 +124,21 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
     labelled = graph.select("id", F.array_distinct("terms").alias("terms")).join(hinted(seeds), "id")
     sums = [F.sum(c).alias(c) for c in columns]
     evidence = labelled.select(*columns, F.explode("terms").alias("term")).groupBy("term").agg(*sums)
-    weights = written(_weights(evidence, prior), "subject-weights")
+    weights = written(_weights(evidence, "term", prior), "subject-weights")
 
     # Edges of terms that occur in several documents, but for those that labels show to say little.
     spread = graph.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= LEAST_DOCUMENTS)
     vague = weights.filter((F.col("n") >= LEAST_EVIDENCE) & (F.col("information") < LEAST_INFORMATION / 2)).select("term")
-    kept = written(spread.join(vague, "term", "left_anti").select("term", "held"), "subject-terms")
+    kept = spread.join(vague, "term", "left_anti").select("term", "held", F.monotonically_increasing_id().alias("code"))
+    kept = written(kept, "subject-terms")
+    weights = weights.join(kept.select("term", "code"), "term").drop("term")
     flat = graph.select("id", F.inline(F.arrays_zip("terms", "sentences", "lengths"))).select("id", F.col("terms").alias("term"), F.col("sentences").alias("sentence"), F.col("lengths").alias("length"))
-    edges = written(looked_up(flat, kept, "term", "held"), "subject-edges")
+    edges = written(looked_up(flat, kept, "term", "held").drop("term"), "subject-edges")
 
     strength = [F.sum(f"w{k}").alias(c) for k, c in enumerate(columns)]
     for _ in range(rounds - 1):
         # Terms to documents.
-        scores = looked_up(edges.select("id", "term"), _verified(weights, kept), "term", "held").groupBy("id").agg(*strength)
+        scores = looked_up(edges.select("id", "code"), _verified(weights, kept), "code", "held").groupBy("id").agg(*strength)
         # Squares keep a document's one or two subjects apart from the traces that terms leave of others.
         squares = [F.pow(c, F.lit(2)) for c in columns]
         shared = scores.withColumn("t", reduce(Column.__add__, squares)).select("id", *((x / F.col("t")).alias(f"p{k}") for k, x in enumerate(squares)))
@@ -148,11 +150,11 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
         scores = written(both.select("id", *(F.when(clamped, F.col(c)).otherwise(F.col(f"p{k}")).alias(c) for k, c in enumerate(columns))), "subject-scores")
         # Documents to terms.
         prior = _prior(scores, count)
-        evidence = edges.select("id", "term").join(hinted(scores), "id").groupBy("term").agg(*sums)
-        weights = written(_weights(evidence, prior), "subject-weights")
+        evidence = edges.select("id", "code").join(scores, "id").groupBy("code").agg(*sums)
+        weights = written(_weights(evidence, "code", prior), "subject-weights")
 
     # The subject of each sentence, and each subject's share of the document.
-    said = looked_up(edges, _verified(weights, kept), "term", "held").groupBy("id", "sentence", "length").agg(*strength)
+    said = looked_up(edges, _verified(weights, kept), "code", "held").groupBy("id", "sentence", "length").agg(*strength)
     lead = reduce(F.greatest, map(F.col, columns)) if count > 1 else F.col("s0")
     subject = F.coalesce(*(F.when(F.col(c) == F.col("lead"), k) for k, c in enumerate(columns)))
     sentences = said.withColumn("lead", lead).filter((F.col("lead") >= LEAST_LEAD * UNIT) & (F.col("lead") >= LEAD_SHARE * total))
