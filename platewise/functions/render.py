@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from platewise.functions.literals import list_elements
+from platewise.operators.numbering import numbered
 
 
 def lines(text: Column, enumerated: bool = False) -> Column:
@@ -43,11 +43,7 @@ def summary(text: Column, cuisine: Column, category: Column) -> Column:
 
 
 def grid(df: DataFrame, column: str, width: int = 1) -> DataFrame:
-    """(line, cells): the distinct non-null values in order, ``width`` to a line, the last line maybe shorter.
-
-    Meant for the few options of a menu: numbering them takes one partition.
-    """
-    options = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    placed = options.withColumn("at", F.row_number().over(Window.orderBy(column)) - 1)
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(column).alias("v")))), lambda x: x["v"])
-    return placed.groupBy(F.floor(F.col("at") / width).alias("line")).agg(cells.alias("cells"))
+    """(line, cells): the distinct non-null values in order, ``width`` to a line, the last line maybe shorter."""
+    options = df.select(F.col(f"`{column}`").alias("v")).filter("v is not null").distinct()
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
+    return numbered(options, "v", name="at").groupBy(F.floor(F.col("at") / width).alias("line")).agg(cells.alias("cells"))
