@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.lookup import looked_up
+from platewise.operators.numbering import numbered
 from platewise.stage import written
 
 #: Codes that a mapper holds before it sorts and counts them (32 MB).
@@ -93,8 +94,8 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
     """
     records = records.filter(F.size("terms") > 0)
     # Read twice, for the terms and for the pairs.
-    numbered = written(records.select(F.monotonically_increasing_id().alias("rec"), "field", "terms"), "together-records")
-    rows = numbered.select("rec", "field", F.posexplode("terms").alias("pos", "term"))
+    kept = written(records.select(F.monotonically_increasing_id().alias("rec"), "field", "terms"), "together-records")
+    rows = kept.select("rec", "field", F.posexplode("terms").alias("pos", "term"))
     # Each record counts once for n, at its first term.
     totals = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("pos") == 0).alias("first"))
     totals = written(totals, "together-terms")
@@ -102,12 +103,10 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
     frequent = totals.join(F.broadcast(sizes), "field").filter(F.col("held") >= least)
     if share is not None:
         frequent = frequent.filter(F.col("held") * share >= F.col("n"))
-    # Sorted by term, so that the smaller code is the smaller term; dense, so that it fits 32 bits.
-    ordered = written(frequent.orderBy("field", "term").select("field", "term", "held", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mono")), "together-order")
-    before = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = _running(before)
-    dictionary = ordered.join(F.broadcast(offsets), "part").select("field", "term", "held", "n", (F.col("offset") + F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))).alias("tid"))
-    dictionary = written(dictionary, "together-dictionary")
+    # Numbered in order, so that the smaller code is the smaller term, and densely, to fit 32 bits.
+    dictionary = written(numbered(frequent.select("field", "term", "held", "n"), "field", "term", name="tid"), "together-dictionary")
+    if not dictionary.filter(F.col("tid") >= 1 << 31).isEmpty():
+        raise ValueError("more terms than 32-bit codes")
     coded = looked_up(rows.select("rec", "field", "term"), dictionary.select("field", "term", "tid", "held"), ["field", "term"], "held")
     lists = coded.groupBy("rec").agg(F.array_sort(F.collect_list("tid")).alias("terms")).filter(F.size("terms") > 1).select("terms")
     runs = lists.mapInArrow(sorted_runs, RUN)
@@ -119,15 +118,3 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
         named = named.filter(F.col("k") * share >= F.col("n"))
     both, a, b, neither = F.col("k") + 0.5, F.col("in_a") - F.col("k") + 0.5, F.col("in_b") - F.col("k") + 0.5, F.col("n") - F.col("in_a") - F.col("in_b") + F.col("k") + 0.5
     return named.select("field", "term_a", "term_b", "k", "in_a", "in_b", "n", (both * neither / (a * b)).alias("odds"))
-
-
-def _running(parts: DataFrame) -> DataFrame:
-    """(part, offset) from (part, rows): a row per partition of a sorted table, so a bounded number."""
-    rows = sorted((r["part"], r["rows"]) for r in parts.collect())
-    offsets, at = [], 0
-    for part, n in rows:
-        offsets.append((part, at))
-        at += n
-    if at >= 1 << 31:
-        raise ValueError("more terms than 32-bit codes")
-    return parts.sparkSession.createDataFrame(offsets, "part int, offset long")
