@@ -151,7 +151,7 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
         # Documents to terms.
         prior = _prior(scores, count)
         evidence = edges.select("id", "code").join(scores, "id").groupBy("code").agg(*sums)
-        weights = written(_weights(evidence, "code", prior), "subject-weights")
+        weights = _weights(evidence, "code", prior)
 
     # The subject of each sentence, and each subject's share of the document.
     said = looked_up(edges, _verified(weights, kept), "code", "held").groupBy("id", "sentence", "length").agg(*strength)
