@@ -21,13 +21,19 @@ NODE = T.StructType().add("node", "integer").add("parent", "integer").add("label
 _NODE_ARROW = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
 
 _WHITE = re.compile(r"[ \t\n\r]*")
-_DECODER = json.JSONDecoder(parse_constant=lambda name: _broken(name))
+
+
+class Number(str):
+    """A number as it is written, whatever its size and precision."""
 
 
 def _broken(what: str) -> None:
     raise ValueError(f"not JSON: {what}")
 
 
+_DECODER = json.JSONDecoder(parse_constant=_broken, parse_int=Number, parse_float=Number)
+
+
 def _deep(text: str) -> object:
     """The value of a JSON text of any depth, by an explicit stack instead of recursion."""
     skip = lambda i: _WHITE.match(text, i).end()
@@ -71,7 +77,7 @@ def _deep(text: str) -> object:
 
 def _key(text: str, i: int, skip) -> tuple[str, int]:
     key, i = _DECODER.raw_decode(text, i)
-    if not isinstance(key, str):
+    if not isinstance(key, str) or isinstance(key, Number):
         _broken("key")
     i = skip(i)
     if text[i : i + 1] != ":":
@@ -84,7 +90,7 @@ def parsed(text: str | None) -> object:
     if text is None:
         _broken("null")
     try:
-        return json.loads(text, parse_constant=_broken)
+        return _DECODER.decode(text)
     except RecursionError:
         return _deep(text)
 
@@ -109,18 +115,16 @@ def nodes(value: object, spelt: bool = True) -> Iterator[tuple[int, int | None,
             yield me, parent, label, place, "array", None
             stack += [(value[k], me, None, k) for k in range(len(value) - 1, -1, -1)]
         elif isinstance(value, str):
-            yield me, parent, label, place, "string", value
+            yield me, parent, label, place, "number" if isinstance(value, Number) else "string", value
         elif value is None:
             yield me, parent, label, place, "null", None
-        elif isinstance(value, bool):
-            yield me, parent, label, place, "boolean", json.dumps(value)
         else:
-            yield me, parent, label, place, "number", json.dumps(value)
+            yield me, parent, label, place, "boolean", json.dumps(value)
 
 
 def _spelt(text: str) -> object:
     seen: object = text
-    while isinstance(seen, str) and seen.lstrip(" \t\r\n")[:1] in ("{", "[", '"'):
+    while isinstance(seen, str) and not isinstance(seen, Number) and seen.lstrip(" \t\r\n")[:1] in ("{", "[", '"'):
         try:
             inner = parsed(seen)
         except ValueError:

@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder is made only where it is unset."""
-    folder = spark.conf.get(_FOLDER, None) or spark.sparkContext.getConf().get(_FOLDER)
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder."""
+    folder = spark.conf.get(_FOLDER, None) or _own.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="platewise-")
-        spark.conf.set(_FOLDER, folder)
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError(f"{_FOLDER} must name a folder that all executors share")
+        folder = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="platewise-")
     return folder.rstrip("/")
 
 

@@ -61,8 +61,15 @@ def rebuilt(rows):
 @given(JSON)
 @settings(deadline=None)
 def test_adjacency_rows_keep_everything(value):
-    assert rebuilt(nr.nodes(value, spelt=False)) == value
-    assert nr._deep(json.dumps(value)) == value
+    text = json.dumps(value)
+    assert rebuilt(nr.nodes(nr.parsed(text), spelt=False)) == value
+    assert nr._deep(text) == nr.parsed(text)
+
+
+def test_numbers_stay_as_written():
+    long = "9" * 5000
+    assert [r[5] for r in nr.nodes(nr.parsed(f"[1.10, 1e400, -0, {long}]"))][1:] == ["1.10", "1e400", "-0", long]
+    assert found('{"@type": "Recipe", "review": 5, "recipeInstructions": [7, {"text": 1}]}') == {("step", "1", "")}
 
 
 def test_tables(spark):
