@@ -8,6 +8,7 @@ Stages are Parquet rather than RDD checkpoints: columnar, compressed, with stati
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,18 +34,21 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        # Registered now, so that it runs before the JVM is ended.
+        atexit.unregister(clear)
+        atexit.register(clear)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
 def clear() -> None:
     """Remove all stages written so far. Results that were not yet consumed can't be after this."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended first; its folder is then its owner's to clear
-            pass
+        except Exception:  # the session has ended; what isn't a local folder is then its owner's to clear
+            if "://" not in path or path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
