@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 NODE = T.StructType().add("node", "integer").add("parent", "integer").add("label", "string").add("ord", "integer").add("kind", "string").add("scalar", "string")
 _NODE_ARROW = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
 
+#: Texts whose nodes a task holds as Python objects.
+TEXTS = 500
+
 _WHITE = re.compile(r"[ \t\n\r]*")
 
 
@@ -144,7 +147,9 @@ def shredded(df: DataFrame, json_column: str, key: str) -> DataFrame:
 
 @F.arrow_udf(T.ArrayType(NODE))
 def _shred(texts: pa.Array) -> pa.Array:
-    return _columns([_rows(t, nodes) for t in texts.to_pylist()])
+    # Some texts at a time, as the rows of one are many small objects.
+    parts = [_columns([_rows(t, nodes) for t in texts.slice(at, TEXTS).to_pylist()]) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else _columns([])
 
 
 def _rows(text: str | None, walk) -> list:
