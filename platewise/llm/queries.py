@@ -29,22 +29,40 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return formatting_copies.formatting_copies(names.unionByName(pages)).filter("copies > 1")
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Ingredients, and keywords, found together far more often than chance."""
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     models = table(spark, folder, "recipe_models")
     records = [models.select(F.lit(f).alias("field"), term_set(F.col(f)).alias("terms")) for f in ("ingredients", "keywords")]
-    pairs = together.pair_counts(reduce(DataFrame.unionByName, records), least=10, share=1000)
-    return pairs.filter("k * n >= 4 * in_a * in_b").select("field", "term_a", "term_b")
+    return together.pair_counts(reduce(DataFrame.unionByName, records), least=10, share=1000)
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Keywords, cuisines and categories that are too rare or too common to be useful."""
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ingredients, and keywords, found together far more often than chance."""
+    return _pairs(spark, folder).filter("k * n >= 4 * in_a * in_b").select("field", "term_a", "term_b")
+
+
+def p5_odds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair found together in ten and a thousandth of the records, with its odds ratio in thousandths."""
+    odds = F.round(F.col("odds") * 1000).cast("long").alias("odds_milli")
+    return _pairs(spark, folder).select("field", "term_a", "term_b", "k", odds)
+
+
+def _counts(spark: SparkSession, folder: str) -> DataFrame:
     keywords = table(spark, folder, "recipe_models").select(F.lit("keywords").alias("field"), F.col("keywords").alias("terms"))
     recipes = table(spark, folder, "recipes")
     cuisines = recipes.select(F.lit("cuisine").alias("field"), F.array("cuisine").alias("terms"))
     categories = recipes.select(F.lit("category").alias("field"), split_values(F.col("category")).alias("terms"))
     records = reduce(DataFrame.unionByName, (keywords, cuisines, categories))
-    return term_counts.marked(term_counts.term_counts(records.select("field", normalised_terms(F.col("terms")).alias("terms"))))
+    return term_counts.term_counts(records.select("field", normalised_terms(F.col("terms")).alias("terms")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Keywords, cuisines and categories that are too rare or too common to be useful."""
+    return term_counts.marked(_counts(spark, folder))
+
+
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of every keyword, cuisine and category, and the recipes that have it."""
+    return _counts(spark, folder).select("field", "term", "occurrences", "records")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,4 +89,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas.main_subjects(documents, labels, subjects).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p6_found, p6_counts, p8_ids, p9_found, p10_found)}
