@@ -40,6 +40,8 @@ MAIN_SHARE = 0.2
 LEAST_WORDS = 4
 #: A label is trusted unless its share of the document is less than this while another subject has ``CONTRADICTED`` or more.
 LEAST_TRUST, CONTRADICTED = 0.05, 0.5
+#: Terms that a task holds before it passes them on.
+HELD = 200_000
 
 _SENTENCE = re.compile(r"[.!?;\n|<>]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -54,22 +56,28 @@ def _code(word: str) -> int:
 def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: the distinct terms of each sentence, with the sentence's number and length in words."""
     for batch in batches:
-        terms: list[int] = []
-        sentences: list[int] = []
-        lengths: list[int] = []
-        ends = [0]
-        for text in batch.column("text").to_pylist():
-            for number, sentence in enumerate(_SENTENCE.split(text.lower())):
-                found = _TERM.findall(sentence)
-                if len(found) >= LEAST_WORDS:
-                    distinct = set(found)
-                    terms.extend(map(_code, distinct))
-                    sentences.extend([number] * len(distinct))
-                    lengths.extend([len(found)] * len(distinct))
-            ends.append(len(terms))
-        offsets = pa.array(ends, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((terms, pa.int64()), (sentences, pa.int32()), (lengths, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "terms", "sentences", "lengths"])
+        texts = batch.column("text").to_pylist()
+        first = 0
+        while first < len(texts):
+            terms: list[int] = []
+            sentences: list[int] = []
+            lengths: list[int] = []
+            ends = [0]
+            for text in texts[first:]:
+                for number, sentence in enumerate(_SENTENCE.split(text.lower())):
+                    found = _TERM.findall(sentence)
+                    if len(found) >= LEAST_WORDS:
+                        distinct = set(found)
+                        terms.extend(map(_code, distinct))
+                        sentences.extend([number] * len(distinct))
+                        lengths.extend([len(found)] * len(distinct))
+                ends.append(len(terms))
+                if len(terms) >= HELD:
+                    break
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((terms, pa.int64()), (sentences, pa.int32()), (lengths, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(ends) - 1), *lists], ["id", "terms", "sentences", "lengths"])
+            first += len(ends) - 1
 
 
 def _weights(evidence: DataFrame, key: str, prior: list[float]) -> DataFrame:

@@ -42,3 +42,17 @@ def test_empty_tables(spark):
     for d, x in ((documents.limit(0), labels), (documents, labels.limit(0)), (documents.limit(0), labels.limit(0))):
         out = sa.main_subjects(d, x, subjects)
         assert out.columns == ["id", "subject"] and out.collect() == []
+
+
+def test_features_are_passed_on_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["one two three four five. six seven eight nine", "", "alpha beta gamma delta\nalpha alpha alpha alpha", "short one"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], ["id", "text"])
+    whole = [r for b in sa.features([batch, batch.slice(0, 0)]) for r in b.to_pylist()]
+    monkeypatch.setattr(sa, "HELD", 3)
+    parts = list(sa.features([batch, batch.slice(0, 0)]))
+    assert len(parts) > 5 and [(r["id"], sorted(zip(r["terms"], r["sentences"], r["lengths"]))) for b in parts for r in b.to_pylist()] == [
+        (r["id"], sorted(zip(r["terms"], r["sentences"], r["lengths"]))) for r in whole
+    ]
+    assert [len(r["terms"]) for r in whole[:4]] == [9, 0, 5, 0] and whole[2]["sentences"] == [0, 0, 0, 0, 1]
