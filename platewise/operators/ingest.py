@@ -55,6 +55,20 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def replace(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in place of the table at ``path``, which they may be read from.
+
+    They are written beside it first; a run that fails before the exchange leaves the table as it was.
+    """
+    spark = rows.sparkSession
+    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new"))
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at, True)
+    files.rename(new, at)
+    spark.catalog.refreshByPath(path)
+
+
 def staged(pages: DataFrame) -> DataFrame:
     """(id, url, name, data) of the recipe pages among (id, url, html): title, and the text of the record script."""
     read = pages.select("id", "url", html.facts(F.col("html")).alias("page"))

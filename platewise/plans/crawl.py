@@ -1,12 +1,16 @@
-"""The crawl as one resumable batch."""
+"""The crawl as one resumable batch (R1 to R3): over fetched text, and from addresses to tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators import ingest
-from platewise.sources import sitemaps
+from platewise.operators.numbering import numbered
+from platewise.sources import fetch, sitemaps
+from platewise.stage import written
 
 
 def import_sitemap(frontier: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -26,3 +30,37 @@ def import_pages(frontier: DataFrame, fetched: DataFrame, staging: DataFrame) ->
     pages = fetched.join(todo, "sitemap_url", "left_semi")
     new = ingest.absent(ingest.staged(pages), staging)
     return new, ingest.finished(frontier, todo.select(F.col("sitemap_url").alias("url")))
+
+
+def _identified(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with an id that goes on from the largest in ``table``."""
+    last = table.agg(F.max("id")).first()[0] or 0
+    return numbered(rows, "url", name="__n").withColumn("id", F.col("__n") + last + 1).drop("__n")
+
+
+def add_sitemaps(spark: SparkSession, urls: Iterable[str], frontier: str) -> None:
+    """Fetch sitemap indexes and append what they list to the table at ``frontier``, an address at most once."""
+    existing = ingest.opened(spark, frontier, ingest.FRONTIER)
+    indexes = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "id long, url string")
+    texts = indexes.select("id", fetch.fetched(F.col("url"))["body"].alias("xml"))
+    new = import_sitemap(existing, texts)
+    ingest.append(_identified(new, existing).select("id", "url", "completed"), frontier)
+
+
+def run(spark: SparkSession, frontier: str, staging: str, partitions: int = 4) -> None:
+    """One run over the table at ``frontier``: unfinished sitemaps are fetched, their pages that staging lacks are
+    fetched and staged, and sitemaps that could be read become completed.
+
+    ``partitions`` bounds how many tasks fetch at a time. What was fetched is written first, so that nothing is fetched twice.
+    """
+    sitemaps_table = ingest.opened(spark, frontier, ingest.FRONTIER)
+    existing = ingest.opened(spark, staging, ingest.STAGING)
+    todo = ingest.unfinished(sitemaps_table).select("url").distinct().repartition(partitions)
+    texts = written(todo.select("url", fetch.fetched(F.col("url"))["body"].alias("xml")), "crawl-sitemaps")
+    read = texts.select("url", sitemaps.sitemap_urls(F.col("xml")).alias("pages")).filter("pages is not null")
+    listed = read.select(F.col("url").alias("sitemap_url"), F.explode("pages").alias("url"))
+    wanted = listed.groupBy("url").agg(F.min("sitemap_url").alias("sitemap_url")).join(existing.select("url").distinct(), "url", "left_anti")
+    pages = written(wanted.repartition(partitions).select("url", fetch.fetched(F.col("url"), checked=False)["body"].alias("html")), "crawl-pages")
+    new = ingest.staged(pages.filter("html is not null").select(F.lit(0).cast("long").alias("id"), "url", "html")).drop("id")
+    ingest.append(_identified(new, existing).select("id", "url", "name", "data"), staging)
+    ingest.replace(ingest.finished(sitemaps_table, read.select("url")), frontier)

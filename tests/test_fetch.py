@@ -1,0 +1,62 @@
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from platewise.operators import ingest
+from platewise.plans import crawl
+from platewise.sources import fetch
+from test_ingest import NAMESPACE, page
+
+PAGES = {}
+
+
+class Site(BaseHTTPRequestHandler):
+    def do_GET(self):
+        body = PAGES.get(self.path)
+        self.send_response(200 if body is not None else 404)
+        self.send_header("Content-Type", "text/html; charset=utf-8")
+        self.end_headers()
+        self.wfile.write((body if body is not None else "gone").encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture(scope="module")
+def site():
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_replies(spark, site, tmp_path):
+    PAGES["/crème"] = PAGES["/cr%C3%A8me"] = "é"
+    (tmp_path / "local.xml").write_text("<x/>")
+    rows = [(1, f"{site}/cr%C3%A8me"), (2, f"{site}/none"), (3, None), (4, "nonsense"), (5, f"file://{tmp_path}/local.xml")]
+    got = {r.id: r.f for r in spark.createDataFrame(rows, "id long, url string").select("id", fetch.fetched(F.col("url")).alias("f")).collect()}
+    assert (got[1].body, got[5].body) == ("é", "<x/>")
+    assert got[2].error == "status 404" and got[2].body is None
+    assert got[3].body is got[3].error is None and "ValueError" in got[4].error
+    assert fetch.fetched_text(f"{site}/none", checked=False) == ("gone", None)
+
+
+def test_whole_crawl(spark, site, tmp_path):
+    urls = "".join(f"<url><loc>{site}/{p}</loc></url>" for p in ("a", "b", "collection", "missing"))
+    PAGES["/map.xml"] = f"<urlset {NAMESPACE}>{urls}</urlset>"
+    PAGES["/index.xml"] = f"<urlset {NAMESPACE}><url><loc>{site}/map.xml</loc></url><url><loc>{site}/broken.xml</loc></url></urlset>"
+    PAGES["/broken.xml"] = "<urlset>"
+    PAGES.update({"/a": page(title="A"), "/b": page(title="B"), "/collection": page("Collection")})
+    frontier, staging = f"{tmp_path}/frontier", f"{tmp_path}/staging"
+    crawl.add_sitemaps(spark, [f"{site}/index.xml"], frontier)
+    crawl.add_sitemaps(spark, [f"{site}/index.xml"], frontier)
+    assert sorted(r.url for r in spark.read.parquet(frontier).collect()) == [f"{site}/broken.xml", f"{site}/map.xml"]
+    for _ in range(2):
+        crawl.run(spark, frontier, staging)
+        rows = spark.read.schema(ingest.STAGING).parquet(staging).collect()
+        assert sorted((r.url, r.name) for r in rows) == [(f"{site}/a", "A"), (f"{site}/b", "B")]
+        assert len({r.id for r in rows}) == 2
+    # A sitemap that can't be read stays unfinished.
+    assert {r.url: r.completed for r in spark.read.parquet(frontier).collect()} == {f"{site}/map.xml": True, f"{site}/broken.xml": False}

@@ -22,3 +22,13 @@ def test_entry_module(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "field", "amount_milli"]
+
+
+def test_nothing_else_imports_the_subpackage():
+    from pathlib import Path
+
+    root = Path(queries.__file__).parent
+    inside = root / "llm"
+    for path in root.rglob("*.py"):
+        if inside not in path.parents:
+            assert "platewise.llm" not in path.read_text(), path
