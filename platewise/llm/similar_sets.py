@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.text import term_set
-from platewise.operators.lookup import looked_up
+from platewise.operators.lookup import hinted, looked_up
 from platewise.stage import written
 
 #: Postings of one term that one group holds; more are split into pairs of blocks.
@@ -168,9 +168,11 @@ def class_links(classes: DataFrame, threshold: Fraction = Fraction(4, 5), block:
     prefix = F.size("ranks") - least + 1
     ranked = written(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0"), "set-ranks")
     postings = ranked.select("cls", "n", "ranks", F.explode(F.slice("ranks", F.lit(1), F.col("prefix"))).alias("token"))
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1")
-    blocks = F.ceil(F.col("posted") / F.lit(block)).cast("int")
-    placed = postings.join(counts, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # Only terms of more postings than a block need a second look; there are fewer of them than blocks.
+    crowded = postings.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).filter(F.col("posted") > block)
+    crowded = written(crowded.select("token", F.ceil(F.col("posted") / F.lit(block)).cast("int").alias("blocks")), "set-crowded")
+    placed = postings.join(hinted(crowded), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     sent = placed.select("token", "block", "cls", "n", "ranks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     sent = sent.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "n", "ranks")
     grouped = sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
