@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ from platewise.functions.text import term_set
 from platewise.operators.lookup import hinted, looked_up
 from platewise.stage import written
 
+#: Cost of merging a number, as a share of searching it in a list of two.
+MERGE_COST = 0.01
 #: Postings of one term that one group holds; more are split into pairs of blocks.
 BLOCK = 4096
 
@@ -38,13 +41,14 @@ def required(n: int, threshold: Fraction) -> int:
 def at_least(lists: list[list[int]], need: int, low: int) -> Iterator[tuple[int, int]]:
     """Numbers from ``low`` on that occur in ``need`` or more of the ascending ``lists``, with their counts.
 
-    The ``need - 1`` longest lists (all but one of the required occurrences may lie there) are searched by
-    bisection; the rest are merged by a heap.
+    Some of the longest lists are set apart and searched by bisection, the more the longer they are, but never so
+    many that a number could do without the others; those are merged by a heap, which skips ahead of numbers that
+    too few of them hold.
     """
     if need <= 0 or len(lists) < need:
         return
     lists = sorted(lists, key=len)
-    apart = need - 1
+    apart = min(need - 1, int(need / (MERGE_COST * log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
     heap = [(x[at], k, at) for k, x in enumerate(short) if (at := bisect_left(x, low)) < len(x)]
     heapify(heap)

@@ -1,6 +1,7 @@
 from fractions import Fraction
 from itertools import combinations
 from random import Random
+from unittest import mock
 
 import pytest
 from hypothesis import given, settings
@@ -13,15 +14,17 @@ from platewise.operators import lookup
 LISTS = st.lists(st.lists(st.integers(0, 12), max_size=8).map(lambda x: sorted(set(x))), max_size=6)
 
 
-@given(LISTS, st.integers(1, 6), st.integers(0, 5))
-@settings(deadline=None, max_examples=400)
-def test_merging_counts_occurrences(lists, need, low):
+@given(LISTS, st.integers(1, 6), st.integers(0, 5), st.sampled_from([0.0, 0.01, 0.3, 5.0]))
+@settings(deadline=None, max_examples=600)
+def test_merging_counts_occurrences(lists, need, low, cost):
+    with mock.patch.object(ss, "MERGE_COST", cost):
+        got = list(ss.at_least(lists, need, low))
     want = {}
     for x in lists:
         for v in x:
             if v >= low:
                 want[v] = want.get(v, 0) + 1
-    assert dict(ss.at_least(lists, need, low)) == {v: c for v, c in want.items() if c >= need}
+    assert got == sorted((v, c) for v, c in want.items() if c >= need)
 
 
 def similar(a, b, t=Fraction(4, 5)):
