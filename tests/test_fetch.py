@@ -60,3 +60,27 @@ def test_whole_crawl(spark, site, tmp_path):
         assert len({r.id for r in rows}) == 2
     # A sitemap that can't be read stays unfinished.
     assert {r.url: r.completed for r in spark.read.parquet(frontier).collect()} == {f"{site}/map.xml": True, f"{site}/broken.xml": False}
+
+
+def test_sitemap_with_a_failed_page_stays_unfinished(spark, site, tmp_path):
+    pages = {"x": ("p", "q"), "y": ("q",), "z": ("p",), "empty": ()}
+    away = "http://127.0.0.1:1/away"
+    for name, listed in pages.items():
+        urls = [f"{site}/{p}" for p in listed] + [away] * (name in "xy")
+        PAGES[f"/{name}.xml"] = f"<urlset {NAMESPACE}>{''.join(f'<url><loc>{u}</loc></url>' for u in urls)}</urlset>"
+    PAGES.update({"/p": page(title="P"), "/q": page(title="Q")})
+    frontier, staging = f"{tmp_path}/frontier", f"{tmp_path}/staging"
+    spark.createDataFrame([(k, f"{site}/{n}.xml", False) for k, n in enumerate(pages)], ingest.FRONTIER).write.parquet(frontier)
+    completed = lambda: {r.url.rpartition("/")[2]: r.completed for r in spark.read.parquet(frontier).collect()}
+    staged = lambda: sorted(r.name for r in spark.read.schema(ingest.STAGING).parquet(staging).collect())
+    failed = crawl.run(spark, frontier, staging).collect()
+    assert [r.url for r in failed] == [away] and "refused" in failed[0].error
+    # Both sitemaps that list the page wait for it.
+    assert completed() == {"x.xml": False, "y.xml": False, "z.xml": True, "empty.xml": True}
+    assert staged() == ["P", "Q"]
+    # The page is there again.
+    for name in "xy":
+        PAGES[f"/{name}.xml"] = PAGES[f"/{name}.xml"].replace(away, f"{site}/back")
+    PAGES["/back"] = page(title="Back")
+    assert crawl.run(spark, frontier, staging).count() == 0
+    assert all(completed().values()) and staged() == ["Back", "P", "Q"]

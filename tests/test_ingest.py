@@ -84,6 +84,20 @@ def test_crawl_twice(spark):
     assert again.count() == 0
 
 
+def test_only_whole_sitemaps_are_finished(spark):
+    frontier = spark.createDataFrame([(k, f"s{k}", False) for k in range(1, 6)] + [(6, "s6", True)], ingest.FRONTIER)
+    rows = [(1, "s1", "a", page()), (2, "s2", "a", page()), (3, "s2", "lost", None), (4, "s3", "staged", None), (5, "s6", "c", page())]
+    fetched = spark.createDataFrame(rows, "id long, sitemap_url string, url string, html string")
+    staged = spark.createDataFrame([(1, "staged", "n", "{}")], ingest.STAGING)
+    new, after = crawl.import_pages(frontier, fetched, staged)
+    assert [r.url for r in new.collect()] == ["a"]
+    assert {r.url for r in after.filter("completed").collect()} == {"s1", "s3", "s6"}
+    listed = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "a"), ("s4", None), ("s5", "c"), ("s6", "d")], "sitemap_url string, url string")
+    _, after = crawl.import_pages(frontier, fetched, staged, listed)
+    # s1 lacks b; s5 lacks c, which was fetched for a completed sitemap and so isn't staged.
+    assert {r.url for r in after.filter("completed").collect()} == {"s2", "s4", "s6"}
+
+
 def test_import_sitemap(spark):
     xml = f"<urlset {NAMESPACE}><url><loc>s1</loc></url><url><loc>s9</loc></url><url><loc>s9</loc></url></urlset>"
     frontier = spark.createDataFrame([(1, "s1", None)], ingest.FRONTIER)
