@@ -87,3 +87,27 @@ def test_unstated_units_are_decoded(spark, monkeypatch, held):
     found = {x.id: x.amount for x in units.in_common_units(df, {FAT: "b"}, key="id", note="n", source="s", at="at").collect()}
     right = sum((found.get(k) is None) == (a is None) and (a is None or abs(found[k] - a) < 0.02) for k, a in truth.items())
     assert right >= 390
+
+
+@pytest.mark.parametrize(("days", "held"), [(7, 20_000), (7, 3), (100, 5), (10_000, 20_000)])
+def test_a_source_is_one_chain(spark, monkeypatch, days, held):
+    monkeypatch.setattr(units, "CHUNK_DAYS", days)
+    monkeypatch.setattr(units, "HELD", held)
+    r = np.random.default_rng(6)
+    rows = [(1000 + k, f"{x:.3f} kcal", "other", k, None) for k, x in enumerate(np.exp(r.normal(6, 0.6, 300)))]
+    chains = {}
+    for source in ("a", None):
+        amounts = np.round(np.exp(r.normal(6, 0.6, 120)) * np.where(np.arange(120) // 40 % 2, 4.184, 1), 3)
+        # A bare number every five days.
+        chains[source] = [(len(rows) + k, f"{x:.3f}", source, 5 * k, "Energy in kJ" if k % 50 == 45 else None) for k, x in enumerate(amounts)]
+        rows += chains[source]
+    df = spark.createDataFrame(rows, "id long, calories string, s string, day long, n string").select("*", F.timestamp_seconds(F.col("day") * 86_400).alias("at"), F.lit(None).cast("string").alias("b"))
+    found = {x.id for x in units.in_common_units(df, {CALORIES: "b"}, key="id", note="n", source="s", at="at").collect()}
+    # Notes give amounts with a unit too, but say nothing of the numbers about them.
+    noted = [log(float(c[1]) / 4.184) for chain in chains.values() for c in chain if c[4]]
+    logs = [log(float(t.split()[0])) for _, t, *_ in rows[:300]] + noted
+    for chain in chains.values():
+        bare = [c for c in chain if not c[4]]
+        path, _ = units.viterbi(np.array([log(float(c[1])) for c in bare]), np.full(len(bare), -1), np.array([0.0, log(1 / 4.184)]), np.mean(logs), np.std(logs))
+        assert {c[0] for c, s in zip(bare, path) if s} | {c[0] for c in chain if c[4]} == found & {c[0] for c in chain}
+        assert sum(s == (c[0] - chain[0][0]) // 40 % 2 for c, s in zip(bare, path)) >= 100
