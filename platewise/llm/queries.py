@@ -29,21 +29,29 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return formatting_copies.formatting_copies(names.unionByName(pages)).filter("copies > 1")
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str, least: int = 1, share: int | None = None) -> DataFrame:
     models = table(spark, folder, "recipe_models")
     records = [models.select(F.lit(f).alias("field"), term_set(F.col(f)).alias("terms")) for f in ("ingredients", "keywords")]
-    return together.pair_counts(reduce(DataFrame.unionByName, records), least=10, share=1000)
+    return together.pair_counts(reduce(DataFrame.unionByName, records), least, share)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ingredients, and keywords, found together far more often than chance."""
-    return _pairs(spark, folder).filter("k * n >= 4 * in_a * in_b").select("field", "term_a", "term_b")
+    return _pairs(spark, folder, least=10, share=1000).filter("k * n >= 4 * in_a * in_b").select("field", "term_a", "term_b")
+
+
+def _with_odds(pairs: DataFrame) -> DataFrame:
+    return pairs.select("field", "term_a", "term_b", "k", F.round(F.col("odds") * 1000).cast("long").alias("odds_milli"))
 
 
 def p5_odds(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair found together in ten and a thousandth of the records, with its odds ratio in thousandths."""
-    odds = F.round(F.col("odds") * 1000).cast("long").alias("odds_milli")
-    return _pairs(spark, folder).select("field", "term_a", "term_b", "k", odds)
+    return _with_odds(_pairs(spark, folder, least=10, share=1000))
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair found together in any record, with its odds ratio in thousandths."""
+    return _with_odds(_pairs(spark, folder))
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,4 +97,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas.main_subjects(documents, labels, subjects).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p6_found, p6_counts, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p5_pairs, p6_found, p6_counts, p8_ids, p9_found, p10_found)}

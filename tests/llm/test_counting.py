@@ -73,3 +73,16 @@ def test_marks(spark):
     assert marks == [("f", "b", "rare"), ("f", "c", "common")]
     assert sorted(r.mark for r in term_counts.marked(term_counts.term_counts(spark.createDataFrame([("f", ["x"])], SCHEMA))).collect()) == ["common", "rare"]
     assert term_counts.term_counts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_all_pairs_are_counted(spark):
+    import oracle
+    from platewise.llm import queries
+
+    want = Counter()
+    for r in oracle.database().execute("select ingredients, keywords from recipe_models").fetchall():
+        for field, terms in zip(("ingredients", "keywords"), r):
+            own = {" ".join(t.split()).lower() for t in terms or () if t is not None} - {""}
+            want.update((field, *sorted(p)) for p in combinations(own, 2))
+    got = {(r.field, r.term_a, r.term_b): r.k for r in queries.QUERIES["p5_pairs"](spark, str(oracle.DATA)).collect()}
+    assert got == want and min(want.values()) == 1
