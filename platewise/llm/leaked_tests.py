@@ -27,7 +27,7 @@ from platewise.stage import written
 #: Words of a seed n-gram, and words kept on either side of hits for the alignment.
 GRAM, MARGIN = 8, 24
 #: Distinct n-grams of the evaluation texts (8 bytes each) up to which tasks filter documents by a broadcast list;
-#: beyond, all n-grams of the corpus are joined by shuffle.
+#: beyond, all n-grams of the corpus are joined by shuffle. Passages are the same either way.
 BROADCAST_GRAMS = 1_000_000
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -98,38 +98,52 @@ def _word_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(lists, pa.int64()), _lists(gram_lists, pa.int64())], ["item", "words", "grams"])
 
 
+def _clusters(word_codes: np.ndarray, own: np.ndarray, hits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and distinct n-grams of a document's passages: runs of hits no further apart than two margins, with a margin on either side."""
+    for cluster in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1):
+        yield word_codes[max(0, cluster[0] - MARGIN) : cluster[-1] + GRAM + MARGIN].view(np.int64), np.unique(own[cluster]).view(np.int64)
+
+
+def _passage_batch(docs: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([docs, _lists([f[0] for f in found], pa.int64()), _lists([f[1] for f in found], pa.int64())], ["doc", "words", "grams"])
+
+
 def _passages(wanted):
-    """Documents to passages: runs of hits no further apart than two margins, with a margin on either side."""
+    """Documents to passages by the broadcast list of n-grams."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = wanted.value if wanted is not None else None
-        if sought is not None:
-            bits = np.zeros(1 << 22, bool)
-            bits[sought & np.uint64(len(bits) - 1)] = True
+        sought = wanted.value
+        bits = np.zeros(1 << 22, bool)
+        bits[sought & np.uint64(len(bits) - 1)] = True
         for batch in batches:
-            docs, word_lists, gram_lists = [], [], []
+            docs, found = [], []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 if not text:
                     continue
                 word_codes = codes(text)
                 own = grams(word_codes, GRAM)
-                if sought is None:
-                    hits = np.arange(len(own))
-                else:
-                    hits = np.flatnonzero(bits[own & np.uint64(len(bits) - 1)])
-                    at = np.searchsorted(sought, own[hits])
-                    hits = hits[sought[np.minimum(at, len(sought) - 1)] == own[hits]] if len(sought) else hits[:0]
-                if not len(hits):
-                    continue
-                for cluster in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1):
-                    docs.append(doc)
-                    word_lists.append(word_codes[max(0, cluster[0] - MARGIN) : cluster[-1] + GRAM + MARGIN].view(np.int64))
-                    gram_lists.append(np.unique(own[cluster]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field("id").type), _lists(word_lists, pa.int64()), _lists(gram_lists, pa.int64())], ["doc", "words", "grams"])
+                hits = np.flatnonzero(bits[own & np.uint64(len(bits) - 1)])
+                at = np.searchsorted(sought, own[hits])
+                hits = hits[sought[np.minimum(at, len(sought) - 1)] == own[hits]] if len(sought) else hits[:0]
+                if len(hits):
+                    found += _clusters(word_codes, own, hits)
+                    docs += [doc] * (len(found) - len(docs))
+            yield _passage_batch(pa.array(docs, batch.schema.field("id").type), found)
 
     return run
 
 
+def _joined_passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their sorted hits to passages."""
+    for batch in batches:
+        docs, found = [], []
+        numpy = lambda x: x.values.to_numpy(zero_copy_only=False)
+        for doc, word_codes, own, hits in zip(batch.column("doc").to_pylist(), *(batch.column(n) for n in ("words", "grams", "hits"))):
+            found += _clusters(numpy(word_codes).view(np.uint64), numpy(own).view(np.uint64), numpy(hits))
+            docs += [doc] * (len(found) - len(docs))
+        yield _passage_batch(pa.array(docs, batch.schema.field("doc").type), found)
+
+
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("passage"), batch.column("words")
@@ -151,14 +165,18 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> Da
     items = tests.select("id", "text").filter("text is not null").mapInArrow(_word_lists, f"item {item_type}, words array<long>, grams array<long>")
     items = written(items, "leaked-items")
     sought = items.select(F.explode("grams").alias("gram")).distinct()
-    listed = None
+    passage_type = f"doc {id_type}, words array<long>, grams array<long>"
     if sought.count() <= BROADCAST_GRAMS:
         listed = spark.sparkContext.broadcast(np.sort(sought.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64)))
-    passages = docs.mapInArrow(_passages(listed), f"doc {id_type}, words array<long>, grams array<long>")
+        passages = docs.mapInArrow(_passages(listed), passage_type)
+    else:
+        lists = docs.filter("text is not null").mapInArrow(_word_lists, f"item {id_type}, words array<long>, grams array<long>").filter(F.size("grams") > 0)
+        whole = written(lists.select(F.monotonically_increasing_id().alias("place"), F.col("item").alias("doc"), "words", "grams"), "leaked-documents")
+        found = whole.select("place", F.posexplode("grams").alias("at", "gram")).join(sought, "gram", "left_semi")
+        found = found.groupBy("place").agg(F.array_sort(F.collect_list("at")).alias("hits"))
+        passages = whole.join(found, "place").select("doc", "words", "grams", "hits").mapInArrow(_joined_passages, passage_type)
     passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "leaked-passages")
     hits = passages.select("passage", "doc", F.explode("grams").alias("gram"))
-    if listed is None:
-        hits = hits.join(sought, "gram", "left_semi")
     counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     places = items.select("item", F.posexplode("grams").alias("at", "gram")).join(counts, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     # A window of so many words has as many n-grams as there are starts in it; a gram belongs to each of its windows.

@@ -72,3 +72,13 @@ def test_nothing(spark):
     some = df("a b c d e f g h i j k l m")
     for a, b in ((some.limit(0), some), (some, some.limit(0)), (df(None, ""), some), (some, df("short", None))):
         assert lt.leaked_passages(a, b).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_scores_do_not_depend_on_the_number_of_grams(spark, monkeypatch, most):
+    monkeypatch.setattr(lt, "BROADCAST_GRAMS", most)
+    item = [f"t{k}" for k in range(200)]
+    doc = item[:100] + [f"x{k}" for k in range(60)] + item[100:]
+    corpus, tests = (spark.createDataFrame([(1, " ".join(w)), (2, None), (3, "short")], "id long, text string") for w in (doc, item))
+    # The halves are passages of their own, and so neither spans the words between.
+    assert [tuple(r) for r in lt.leaked_passages(corpus, tests).collect()] == [(1, 1, 200, 100)]
