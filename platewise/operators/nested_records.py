@@ -2,8 +2,8 @@
 
 Every JSON text becomes rows of one adjacency table: node, parent, the label under which the parent holds
 it, its place, its kind and its scalar. Entity tables come from that table by taking object nodes and
-pivoting their scalar children. All rows of one text come from one input row, so the pivot is a
-higher-order expression over that row's nodes, and no shuffle is needed.
+pivoting their scalar children. All rows of one text come from one input row, so the Arrow call that reads a
+text also joins and pivots its nodes, and no shuffle is needed.
 """
 
 from __future__ import annotations
@@ -268,3 +268,51 @@ def recipe_tables(df: DataFrame, json_column: str, key: str) -> DataFrame:
     """
     rows = df.select(F.col(f"`{key}`").alias("__key"), entities(F.col(f"`{json_column}`")).alias("__entities"))
     return rows.select(F.col("__key").alias("record" if key in _ENTITY_FIELDS else key), F.inline("__entities"))
+
+
+_OBJECT = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "owner", "node", "parent_node", "label")]).add("fields", T.MapType(T.StringType(), T.StringType()))
+_OBJECT_ARROW = pa.struct([*((n, pa.string()) for n in _OBJECT.names[:-1]), ("fields", pa.map_(pa.string(), pa.string()))])
+
+
+def _object_rows(value: object) -> Iterator[tuple]:
+    tree = list(nodes(value))
+    children: dict[int, list[tuple]] = {}
+    for row in tree:
+        children.setdefault(row[1], []).append(row)
+    whole = lambda v: v if v is None else v.encode("utf-8", "replace").decode()
+    fields = lambda node: [(whole(c[2]), whole(c[5])) for c in children.get(node, ()) if c[4] not in ("object", "array")]
+    nested = lambda node, path: [(c, path, f"{path}/{c[2]}", c[2]) for c in reversed(children.get(node, ())) if c[4] in ("object", "array")]
+    found = list(recipe_entities(tree))
+    own = {at for *_, at in found}
+    for kind, path, parent, at in found:
+        yield kind, kind, path, parent, None, fields(at) if tree[at][4] == "object" else [(TEXT, whole(tree[at][5]))]
+        work = nested(at, path)
+        while work:
+            row, up, here, label = work.pop()
+            if row[0] in own:
+                continue
+            if row[4] == "array":
+                work += [(c, up, f"{here}.{c[3]}", label) for c in reversed(children.get(row[0], ()))]
+            elif row[4] == "object":
+                yield "part", kind, here, up, label, fields(row[0])
+                work += nested(row[0], here)
+            else:
+                yield "part", kind, here, up, label, [("value", whole(row[5]))]
+
+
+@F.arrow_udf(T.ArrayType(_OBJECT))
+def _objects(texts: pa.Array) -> pa.Array:
+    parts = [_columns([_rows(t, _object_rows) for t in texts.slice(at, TEXTS).to_pylist()], _OBJECT_ARROW) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else _columns([], _OBJECT_ARROW)
+
+
+def recipe_objects(df: DataFrame, json_column: str, key: str) -> DataFrame:
+    """The rows of :func:`recipe_tables` with all their scalar children, and a row for each object nested in one.
+
+    Columns: ``key`` (as ``record`` if it is named like another), kind, owner, node, parent_node, label, fields. ``fields`` maps labels to
+    scalars; a lone text is its "text". What an entity holds that is no entity (author, rating, image) has kind "part", the
+    entity's kind as owner, and a node of the container's node, "/", the label and the places in arrays; there a scalar in an array
+    is its "value". (key, owner, parent_node) leads to the container's (key, owner, node) of a part.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("__key"), _objects.asNondeterministic()(F.col(f"`{json_column}`")).alias("__objects"))
+    return rows.select(F.col("__key").alias("record" if key in _OBJECT.names else key), F.inline("__objects"))

@@ -52,6 +52,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.recipe_tables(staged, "data", "id").select("id", "kind", "node", "parent_node")
 
 
+def p7_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p7_found with all their fields, and the objects nested in them, linked to their parents."""
+    return nested_records.recipe_objects(table(spark, folder, "recipe_urls"), "data", "id")
+
 
 def facet_categories(spark: SparkSession, folder: str) -> DataFrame:
     """A1, A2, L4."""
@@ -215,6 +219,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         facet_categories, facet_cuisines, names_filtered, name_search, ingredient_word, ingredients_all_of, found_texts, recipe_texts, recipe_by_id,
         recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages,
-        sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found,
+        sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found, p7_objects,
     )
 }

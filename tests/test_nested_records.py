@@ -86,3 +86,25 @@ def test_tables(spark):
     assert nr.shredded(half, "data", "id").count() == 4
     steps = out.filter("text = 'b'").collect()
     assert [s.parent_node for s in steps] == ["2", "2"]
+
+
+def test_objects_keep_every_field(spark):
+    step = {"@type": "HowToStep", "text": "t", "url": "u", "image": [{"url": "i", "size": {"w": 3}}, "plain"]}
+    review = {"text": "a", "reviewBody": "b", "author": {"name": "n"}, "reviewRating": {"ratingValue": 4.50}, "comment": {"text": "c", "up": None}}
+    recipe = {"@type": "Recipe", "recipeInstructions": [{"name": "s", "itemListElement": [step, {"odd": 1}]}, "lone"], "review": [review]}
+    df = spark.createDataFrame([(1, json.dumps(recipe)), (2, None), (3, "{")], "id long, data string")
+    rows = nr.recipe_objects(df, "data", "id").collect()
+    assert {(r.kind, r.owner, r.node, r.parent_node, r.label): r.fields for r in rows} == {
+        ("section", "section", "0", "", None): {"name": "s"},
+        ("step", "step", "0.0", "0", None): {"@type": "HowToStep", "text": "t", "url": "u"},
+        ("part", "step", "0.0/image.0", "0.0", "image"): {"url": "i"},
+        ("part", "step", "0.0/image.0/size", "0.0/image.0", "size"): {"w": "3"},
+        ("part", "step", "0.0/image.1", "0.0", "image"): {"value": "plain"},
+        ("part", "section", "0/itemListElement.1", "0", "itemListElement"): {"odd": "1"},
+        ("step", "step", "1", "", None): {"text": "lone"},
+        ("review", "review", "0", "", None): {"text": "a", "reviewBody": "b"},
+        ("part", "review", "0/author", "0", "author"): {"name": "n"},
+        ("part", "review", "0/reviewRating", "0", "reviewRating"): {"ratingValue": "4.5"},
+        ("reply", "reply", "0.0", "0", None): {"text": "c", "up": None},
+    }
+    assert len(rows) == 11
