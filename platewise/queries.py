@@ -164,11 +164,24 @@ def page_facts(spark: SparkSession, folder: str) -> DataFrame:
     return served.select("id", pages.facts(F.col("html")).alias("f")).select("id", "f.title", "f.is_recipe", F.md5("f.record").alias("record"))
 
 
+def _fetched(frontier: DataFrame, staging: DataFrame) -> DataFrame:
+    sites = frontier.select(F.col("id").alias("sitemap_id"), F.col("url").alias("sitemap_url"))
+    return _html(staging).join(sites, "sitemap_id").select("id", "sitemap_url", "url", "html")
+
+
 def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of unfinished sitemaps that staging lacks; staging has the pages of odd id."""
     frontier, staging = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
-    fetched = _html(staging).join(frontier.select(F.col("id").alias("sitemap_id"), F.col("url").alias("sitemap_url")), "sitemap_id").select("id", "sitemap_url", "url", "html")
-    new, _ = crawl.import_pages(frontier, fetched, staging.filter("id % 2 = 1").select("id", "url", "name", "data"))
+    new, _ = crawl.import_pages(frontier, _fetched(frontier, staging), staging.filter("id % 2 = 1").select("id", "url", "name", "data"))
+    return new.select("id", "url", "name")
+
+
+def crawled_anew(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of unfinished sitemaps that staging lacks; staging has the pages of all completed sitemaps."""
+    frontier, pages_table = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
+    done = frontier.filter("completed").select(F.col("id").alias("sitemap_id"))
+    staging = pages_table.join(done, "sitemap_id", "left_semi").select("id", "url", "name", "data")
+    new, _ = crawl.import_pages(frontier, _fetched(frontier, pages_table), staging)
     return new.select("id", "url", "name")
 
 
@@ -218,7 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         facet_categories, facet_cuisines, names_filtered, name_search, ingredient_word, ingredients_all_of, found_texts, recipe_texts, recipe_by_id,
-        recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages,
+        recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages, crawled_anew,
         sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found, p7_objects,
     )
 }

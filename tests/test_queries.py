@@ -32,3 +32,13 @@ def test_nothing_else_imports_the_subpackage():
     for path in root.rglob("*.py"):
         if inside not in path.parents:
             assert "platewise.llm" not in path.read_text(), path
+
+
+def test_crawl_after_all_completed_sitemaps(spark):
+    want = oracle.database().execute("""
+      select min(r.id) from recipe_urls r join sitemap s on s.id = r.sitemap_id
+      where r.id % 3 <> 0 and s.url in (select url from sitemap where completed = false)
+        and r.url not in (select url from recipe_urls where url is not null and sitemap_id in (select id from sitemap where completed))
+      group by r.url""").fetchall()
+    got = [r.id for r in queries.QUERIES["crawled_anew"](spark, str(oracle.DATA)).collect()]
+    assert sorted(got) == sorted(i for i, in want) and got
