@@ -9,9 +9,9 @@ from platewise.functions.literals import list_elements
 from platewise.operators.numbering import numbered
 
 
-def lines(text: Column, enumerated: bool = False) -> Column:
-    """A list literal as lines, numbered "1. " and so on if ``enumerated``; '' for null and for no list."""
-    elements = F.transform(list_elements(text), lambda x: F.coalesce(x, F.lit("None")))
+def lines(text: Column, enumerated: bool = False, strict: bool = False) -> Column:
+    """A list literal, read with ``strict`` or without, as lines, numbered "1. " and so on if ``enumerated``; '' for null and for no list."""
+    elements = F.transform(list_elements(text, strict), lambda x: F.coalesce(x, F.lit("None")))
     if enumerated:
         elements = F.transform(elements, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
     return F.coalesce(F.array_join(elements, "\n"), F.lit(""))
@@ -22,12 +22,12 @@ def shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
-def recipe_text(name: Column, portions: Column, description: Column, ingredients: Column, instructions: Column) -> Column:
+def recipe_text(name: Column, portions: Column, description: Column, ingredients: Column, instructions: Column, strict: bool = False) -> Column:
     """A recipe as HTML text. Nothing is escaped, and the portions line is always there."""
     return F.concat(
         F.lit("<b>"), shown(name), F.lit("</b>\n\nPortions: "), shown(portions),
-        F.lit("\n<i>"), shown(description), F.lit("</i>\n\n<b>Ingredients:</b>\n"), lines(ingredients),
-        F.lit("\n\n<b>Instructions:</b>\n"), lines(instructions, enumerated=True),
+        F.lit("\n<i>"), shown(description), F.lit("</i>\n\n<b>Ingredients:</b>\n"), lines(ingredients, strict=strict),
+        F.lit("\n\n<b>Instructions:</b>\n"), lines(instructions, enumerated=True, strict=strict),
     )
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import render
+from platewise.functions.literals import list_elements
 from platewise.functions.text import WHITE
 from platewise.operators import predicates
 
@@ -45,8 +47,13 @@ def names_with(recipes: DataFrame, ingredients: Iterable[str]) -> DataFrame:
 
 
 def texts(recipes: DataFrame) -> DataFrame:
-    """(id, text): every recipe as text."""
-    body = render.recipe_text(*(F.col(c) for c in ("name", "portions", "description", "ingredients", "instructions")))
+    """(id, text): every recipe as text.
+
+    One pass over the lists finds out first whether the JVM can read them all; if not, those it can't go to Python.
+    """
+    lists = (F.col(c) for c in ("ingredients", "instructions"))
+    strict = not recipes.filter(reduce(Column.__or__, (c.isNotNull() & list_elements(c).isNull() for c in lists))).isEmpty()
+    body = render.recipe_text(*(F.col(c) for c in ("name", "portions", "description", "ingredients", "instructions")), strict=strict)
     return recipes.select("id", body.alias("text"))
 
 

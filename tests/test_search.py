@@ -67,3 +67,11 @@ def test_limits_and_samples(spark):
 def test_arguments():
     assert predicates.asked_terms("onion, garlic") == ["onion", " garlic"]
     assert predicates.asked_id("7") == 7 and predicates.asked_id("x") is predicates.asked_id(None) is None
+
+
+def test_texts_of_python_literals(spark):
+    rows = [(1, "('a', 'b')", "['x',]"), (2, r"['\x41', None]", '["y"]'), (3, "no list", None)]
+    df = spark.createDataFrame(rows, "id long, ingredients string, instructions string").selectExpr("*", "'n' name", "'2' portions", "'d' description")
+    texts = {r.id: r.text.partition("<b>Ingredients:</b>\n")[2] for r in search.texts(df).collect()}
+    assert texts == {k: f"{a}\n\n<b>Instructions:</b>\n{b}" for k, a, b in ((1, "a\nb", "1. x"), (2, "A\nNone", "1. y"), (3, "", ""))}
+    assert search.text_by_id(df, 1).first().text.endswith("1. x")
