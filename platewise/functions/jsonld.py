@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.literals import list_elements, list_text
+
 #: The fields of nutrition in JSON-LD, the columns they become, and the unit text they lose.
 NUTRITION = {
     "calories": ("calories", " calories"),
@@ -71,8 +73,19 @@ def recipe_records(df: DataFrame, json_column: str, *keep: str) -> DataFrame:
     )
 
 
+#: Columns that are lists, and columns that are numbers, in the curated table.
+LISTS, NUMBERS = {"keywords", "ingredients", "instructions"}, {c for c, _ in NUTRITION.values()}
+
+
 def curated(records: DataFrame) -> DataFrame:
     """Records as rows of the curated table: arrays as JSON text, nutrition as doubles (null where it is no number)."""
-    numbers = [c for c, _ in NUTRITION.values()]
-    lists = {"keywords", "ingredients", "instructions"}
-    return records.select(*(F.to_json(c).alias(c) if c in lists else F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in records.columns))
+    changed = lambda c: list_text(F.col(c)).alias(c) if c in LISTS else F.col(c).try_cast("double").alias(c) if c in NUMBERS else F.col(f"`{c}`")
+    return records.select(*map(changed, records.columns))
+
+
+def modelled(rows: DataFrame) -> DataFrame:
+    """Rows of the curated table with arrays from their text (either dialect), portions as an integer and nutrition as text."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    integer = F.col("portions").try_cast("int").alias("portions")
+    changed = lambda c: list_elements(F.col(c), strict=True).alias(c) if c in LISTS else text(c) if c in NUMBERS else integer if c == "portions" else F.col(f"`{c}`")
+    return rows.select(*map(changed, rows.columns))

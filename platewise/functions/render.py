@@ -42,8 +42,20 @@ def summary(text: Column, cuisine: Column, category: Column) -> Column:
     return F.concat(asked, text)
 
 
+#: Values, and bytes of a value, up to which a grid is laid out in the driver.
+FEW, SHORT = 1000, 1000
+
+
 def grid(df: DataFrame, column: str, width: int = 1) -> DataFrame:
-    """(line, cells): the distinct non-null values in order, ``width`` to a line, the last line maybe shorter."""
+    """(line, cells): the distinct non-null texts in order, ``width`` to a line, the last line maybe shorter.
+
+    The few options of a menu are laid out in the driver, more or longer ones by tasks.
+    """
     options = df.select(F.col(f"`{column}`").alias("v")).filter("v is not null").distinct()
+    found = [r[0] for r in options.select(F.when(F.octet_length("v") <= SHORT, F.col("v"))).limit(FEW + 1).collect()]
+    if len(found) <= FEW and None not in found:
+        found.sort(key=str.encode)
+        lines = [(k // width, found[k : k + width]) for k in range(0, len(found), width)]
+        return df.sparkSession.createDataFrame(lines, "line long, cells array<string>")
     cells = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
     return numbered(options, "v", name="at").groupBy(F.floor(F.col("at") / width).alias("line")).agg(cells.alias("cells"))

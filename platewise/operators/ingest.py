@@ -18,11 +18,20 @@ CURATED = (
 )
 
 
+def _places(spark: SparkSession, path: str) -> tuple:
+    """The file system of a table, its path, and those of what is to take its place and of what it took the place of."""
+    at, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new", f"{path}.old"))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, new, old
+
+
 def opened(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``; an empty one is made if there is none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        spark.createDataFrame([], schema).write.parquet(path)
+    files, at, _, old = _places(spark, path)
+    if not files.exists(at):
+        if files.exists(old):  # a run ended between the two moves of an exchange
+            files.rename(old, at)
+        else:
+            spark.createDataFrame([], schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -42,12 +51,15 @@ def finished(frontier: DataFrame, urls: DataFrame) -> DataFrame:
 def absent(incoming: DataFrame, existing: DataFrame, key: str = "url", order: str = "id") -> DataFrame:
     """The rows of ``incoming`` whose ``key`` is not in ``existing``: of several with one key, the first by ``order``.
 
-    Null keys equal nothing: each is kept once as a group of its own. The first row is found by an aggregation that
-    combines before the shuffle, so a key repeated by a third of the rows is no hot group.
+    Null is a key like any other: its first row is added unless ``existing`` has a null key. Rows without an ``order`` come
+    after those with one, and of rows equal in it the one smallest in the other columns is first. The first row is
+    found by an aggregation that combines before the shuffle, so a key repeated by a third of the rows is no hot group.
     """
-    first = incoming.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.min_by(F.struct("*"), F.col(f"`{order}`")).alias("__row"))
-    new = first.join(existing.select(F.col(f"`{key}`").alias("__key")).distinct(), "__key", "left_anti")
-    return new.select("__row.*")
+    place = F.col(f"`{order}`")
+    ties = [F.col(f"`{f.name}`") for f in incoming.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = incoming.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.min_by(F.struct("*"), F.struct(place.isNull(), place, *ties)).alias("__row"))
+    held = existing.select(F.col(f"`{key}`").alias("__held")).distinct()
+    return first.join(held, F.col("__key").eqNullSafe(F.col("__held")), "left_anti").select("__row.*")
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -58,14 +70,17 @@ def append(rows: DataFrame, path: str) -> None:
 def replace(rows: DataFrame, path: str) -> None:
     """Put ``rows`` in place of the table at ``path``, which they may be read from.
 
-    They are written beside it first; a run that fails before the exchange leaves the table as it was.
+    They are written beside it first, and the old table is moved aside, not deleted, before they take its place; a run that fails
+    at any point leaves either table whole, and :func:`opened` brings the old one back where neither has the name.
     """
     spark = rows.sparkSession
-    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new"))
     rows.write.mode("overwrite").parquet(f"{path}.new")
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(at, True)
+    files, at, new, old = _places(spark, path)
+    files.delete(old, True)
+    if files.exists(at):
+        files.rename(at, old)
     files.rename(new, at)
+    files.delete(old, True)
     spark.catalog.refreshByPath(path)
 
 
@@ -76,8 +91,23 @@ def staged(pages: DataFrame) -> DataFrame:
     return kept.select("id", "url", F.col("page.title").alias("name"), F.col("page.record").alias("data"))
 
 
+#: Columns of the curated table.
+COLUMNS = [c.split()[0] for c in CURATED.split(", ")]
+
+
 def curated(staging: DataFrame) -> DataFrame:
     """Rows of the curated table from the JSON-LD records in staging, by the staging id."""
-    records = jsonld.recipe_records(staging, "data", "id")
-    names = [c.split()[0] for c in CURATED.split(", ")]
-    return jsonld.curated(records).select(*names)
+    return jsonld.curated(jsonld.recipe_records(staging, "data", "id")).select(*COLUMNS)
+
+
+def models(rows: DataFrame) -> DataFrame:
+    """Rows of the curated table as models: lists read from their text, portions as an integer, nutrition as text.
+
+    Nulls stay null, and so does what can't be read: text that is no list, portions that are no integer.
+    """
+    return jsonld.modelled(rows.select(*COLUMNS))
+
+
+def rows_of(recipes: DataFrame) -> DataFrame:
+    """Models as rows of the curated table, the reverse of :func:`models`; nutrition that is no number becomes null."""
+    return jsonld.curated(recipes.select(*COLUMNS)).withColumn("portions", F.col("portions").cast("string"))

@@ -2,7 +2,8 @@
 
 A finite-state tokenizer reads each text once. Its states are *outside* (collecting a plain value)
 and *quoted* (collecting everything up to the matching close, with a depth for quote marks whose
-opening and closing forms differ). A quote that is never closed is an ordinary separator.
+opening and closing forms differ). A quote that is never closed is an ordinary separator. What closes
+which mark is found by one pass per kind of mark, so a text of unclosed marks takes linear time too.
 """
 
 from __future__ import annotations
@@ -23,25 +24,32 @@ _HAS_QUOTE = re.compile("[\"'“„‘’«‹]")
 _SEPARATOR = re.compile("[^\\w\\s\\-‐‑]|_|[^\\S    　]")
 
 
-def _closing(text: str, start: int, opener: str) -> int:
-    """Index of the mark that closes the quote opened at ``start - 1``, or -1."""
-    closers, depth, i, n = CLOSERS[opener], 1, start, len(text)
-    while i < n:
-        c = text[i]
-        if c == "\\" and i + 1 < n:
-            i += 2
+def _closings(text: str, opener: str) -> dict[int, int]:
+    """For each mark of the kind ``opener`` in the text, the place of the mark that closes it; none for marks never closed.
+
+    One pass from the left. A level of ``open_at`` has the marks that the next unpaired close ends: the mark that
+    opened the level, and marks that a backslash hides from the depth but not from a reader that begins at them.
+    """
+    closers, found = CLOSERS[opener], {}
+    open_at: list[list[int]] = [[]]
+    for seen in re.finditer(rf"\\.|[{closers}{opener}]", text, re.S):
+        at = seen.start()
+        if seen.end() - at == 2:
+            if text[at + 1] == opener:
+                open_at[-1].append(at + 1)
             continue
-        if c in closers:
-            # An apostrophe inside a word does not close a single quote.
-            inside = c in APOSTROPHES and 0 < i < n - 1 and text[i - 1].isalnum() and text[i + 1].isalnum()
-            if not inside:
-                depth -= 1
-                if depth == 0:
-                    return i
-        elif c == opener:
-            depth += 1
-        i += 1
-    return -1
+        # An apostrophe inside a word does not close a single quote.
+        inside = text[at] in APOSTROPHES and 0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum()
+        if text[at] in closers and not inside:
+            found.update(dict.fromkeys(open_at.pop(), at))
+            if not open_at:
+                open_at.append([])
+        if text[at] == opener:
+            if opener in closers:
+                open_at[-1].append(at)
+            else:
+                open_at.append([at])
+    return found
 
 
 def split_packed(text: str | None) -> list[str]:
@@ -52,18 +60,24 @@ def split_packed(text: str | None) -> list[str]:
         return [v for v in map(str.strip, _SEPARATOR.split(text)) if v]
     values: list[str] = []
     plain: list[str] = []
+    closings: dict[str, dict[int, int]] = {}
     i, n = 0, len(text)
 
     def emit(value: str) -> None:
         if value := value.strip():
             values.append(value)
 
+    def closing(opener: str, at: int) -> int | None:
+        if opener not in closings:
+            closings[opener] = _closings(text, opener)
+        return closings[opener].get(at)
+
     while i < n:
         c = text[i]
         before = i > 0 and text[i - 1].isalnum()
         if c in APOSTROPHES and before and i + 1 < n and text[i + 1].isalnum():
             plain.append(c)
-        elif c in CLOSERS and not (c in APOSTROPHES and before) and (end := _closing(text, i + 1, c)) >= 0:
+        elif c in CLOSERS and not (c in APOSTROPHES and before) and (end := closing(c, i)) is not None:
             emit("".join(plain))
             plain = []
             emit(re.sub(r"\\(.)", r"\1", text[i + 1 : end], flags=re.S))

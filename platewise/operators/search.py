@@ -92,6 +92,28 @@ def url_exists(df: DataFrame, url: str) -> DataFrame:
     return df.filter(F.col("url") == url).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
+#: What is said where an identifier is no integer, and where nothing has it.
+INVALID, NOT_FOUND = "Invalid recipe ID.", "Can't find anything to cook"
+
+
+def answer(recipes: DataFrame, asked: str | None, cuisine: str | None = None, category: str | None = None) -> DataFrame:
+    """(text): the one answer to a choice: the summary of the recipe whose identifier the text ``asked`` spells, or why there is none.
+
+    No text at all is an identifier that nothing has.
+    """
+    key = predicates.asked_id(asked)
+    if key is None and asked is not None:
+        return recipes.sparkSession.createDataFrame([(INVALID,)], "text string")
+    known = -(1 << 63) <= key < 1 << 63 if key is not None else False
+    found = summary_by_id(recipes, key if known else None, cuisine, category).select("text")
+    return found.agg(F.coalesce(F.first("text"), F.lit(NOT_FOUND)).alias("text"))
+
+
+def options(found: DataFrame, most: int = 10, seed: int = 0) -> DataFrame:
+    """What a guided search shows of the rows ``found``: all if there are at most ``most``, else ``most`` of them drawn at random."""
+    return sampled(found, most, seed)
+
+
 def sampled(df: DataFrame, most: int = 10, seed: int = 0) -> DataFrame:
     """``most`` rows drawn uniformly without replacement; all rows if there are no more."""
     return df.orderBy(F.rand(seed)).limit(most)

@@ -13,6 +13,10 @@ from platewise.sources import fetch, sitemaps
 from platewise.stage import written
 
 
+class UnreadSitemap(RuntimeError):
+    """Sitemap indexes that couldn't be fetched or are no sitemaps."""
+
+
 def import_sitemap(frontier: DataFrame, fetched: DataFrame) -> DataFrame:
     """New frontier rows (url, completed=false) from fetched sitemap index texts (id, xml), first listing first."""
     listed = sitemaps.sitemap_rows(fetched, "xml", "id")
@@ -53,11 +57,18 @@ def _identified(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def add_sitemaps(spark: SparkSession, urls: Iterable[str], frontier: str) -> None:
-    """Fetch sitemap indexes and append what they list to the table at ``frontier``, an address at most once."""
+    """Fetch sitemap indexes and append what they list to the table at ``frontier``, an address at most once.
+
+    If any can't be fetched or read, ``UnreadSitemap`` names them and nothing is appended.
+    """
     existing = ingest.opened(spark, frontier, ingest.FRONTIER)
     indexes = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "id long, url string")
-    texts = indexes.select("id", fetch.fetched(F.col("url"))["body"].alias("xml"))
-    new = import_sitemap(existing, texts)
+    texts = written(indexes.select("id", "url", fetch.fetched(F.col("url")).alias("f")).select("id", "url", F.col("f.body").alias("xml"), "f.error"), "crawl-indexes")
+    # A row for each of the caller's addresses.
+    failed = texts.filter(F.col("xml").isNull() | sitemaps.sitemap_urls(F.col("xml")).isNull()).select("url", "error").collect()
+    if failed:
+        raise UnreadSitemap("; ".join(f"{r['url']}: {r['error'] or 'no sitemap'}" for r in failed))
+    new = import_sitemap(existing, texts.select("id", "xml"))
     ingest.append(_identified(new, existing).select("id", "url", "completed"), frontier)
 
 

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platewise import stage
 from platewise.functions import jsonld, render
 from platewise.functions.literals import list_elements
-from platewise.operators import ingest, nested_records, packed_values, search, units
+from platewise.operators import ingest, nested_records, packed_values, predicates, search, units
 from platewise.plans import crawl
 from platewise.sources import pages, sitemaps
 from platewise.sql import SQL  # noqa: F401
@@ -84,7 +85,7 @@ def ingredient_word(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingredients_all_of(spark: SparkSession, folder: str) -> DataFrame:
     """P5, F12."""
-    return search.names_with(table(spark, folder, "recipes"), " butter, EGG,, salt".split(","))
+    return search.names_with(table(spark, folder, "recipes"), predicates.asked_terms(" butter, EGG,, salt"))
 
 
 def found_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,8 +99,8 @@ def recipe_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recipe_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    """P8, L2."""
-    return search.text_by_id(table(spark, folder, "recipes"), 7)
+    """P8, L2, F13."""
+    return search.text_by_id(table(spark, folder, "recipes"), predicates.asked_id(" 7 "))
 
 
 def recipe_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +108,18 @@ def recipe_summary(spark: SparkSession, folder: str) -> DataFrame:
     return search.summary_by_id(table(spark, folder, "recipes"), 11, cuisine="Thai", category="main COURSE")
 
 
+def guided_search(spark: SparkSession, folder: str) -> DataFrame:
+    """What is shown of the recipes with some ingredients: all, or ten drawn at random where there are more."""
+    return search.options(search.names_with(table(spark, folder, "recipes"), predicates.asked_terms("butter,Egg , salt")))
+
+
+def guided_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers to a known identifier, one that nothing has, text that is none, and no text."""
+    recipes = table(spark, folder, "recipes")
+    choices = ("7", "999999999", "7 recipes", None)
+    return reduce(DataFrame.unionByName, (search.answer(recipes, c, "Thai", "main COURSE").select(F.lit(c).cast("string").alias("asked"), "text") for c in choices))
+
+
 def page_by_url(spark: SparkSession, folder: str) -> DataFrame:
     """P9."""
     return search.by_url(table(spark, folder, "sitemap").select("id", "url"), "https://www.claripes-plates.example/sitemaps/2023-q4-0.xml")
@@ -169,29 +182,64 @@ def _fetched(frontier: DataFrame, staging: DataFrame) -> DataFrame:
     return _html(staging).join(sites, "sitemap_id").select("id", "sitemap_url", "url", "html")
 
 
-def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of unfinished sitemaps that staging lacks; staging has the pages of odd id."""
-    frontier, staging = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
-    new, _ = crawl.import_pages(frontier, _fetched(frontier, staging), staging.filter("id % 2 = 1").select("id", "url", "name", "data"))
-    return new.select("id", "url", "name")
+def _of_completed(frontier: DataFrame, pages_table: DataFrame) -> DataFrame:
+    """The pages of all completed sitemaps, as staging has them."""
+    done = frontier.filter("completed").select(F.col("id").alias("sitemap_id"))
+    return pages_table.join(done, "sitemap_id", "left_semi").select("id", "url", "name", "data")
 
 
-def crawled_anew(spark: SparkSession, folder: str) -> DataFrame:
+def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of unfinished sitemaps that staging lacks; staging has the pages of all completed sitemaps."""
     frontier, pages_table = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
-    done = frontier.filter("completed").select(F.col("id").alias("sitemap_id"))
-    staging = pages_table.join(done, "sitemap_id", "left_semi").select("id", "url", "name", "data")
-    new, _ = crawl.import_pages(frontier, _fetched(frontier, pages_table), staging)
+    new, _ = crawl.import_pages(frontier, _fetched(frontier, pages_table), _of_completed(frontier, pages_table))
     return new.select("id", "url", "name")
 
 
+def crawled_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    """The frontier after a run in which the pages of broken JSON couldn't be fetched, and sitemaps without pages were not read."""
+    frontier, pages_table = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
+    lost = pages_table.select("id", F.try_parse_json("data").isNull().alias("lost"))
+    fetched = _fetched(frontier, pages_table).join(lost, "id").withColumn("html", F.when(~F.col("lost"), F.col("html"))).drop("lost")
+    _, after = crawl.import_pages(frontier, fetched, _of_completed(frontier, pages_table))
+    return after
+
+
+def staging_appended(spark: SparkSession, folder: str) -> DataFrame:
+    """A staging table made anew, the pages of completed sitemaps added to it and then all pages, an address once, read back."""
+    frontier, pages_table = table(spark, folder, "sitemap"), table(spark, folder, "recipe_urls")
+    path = stage.new_path(spark, "staging")
+    for pages_added in (_of_completed(frontier, pages_table), pages_table.select("id", "url", "name", "data")):
+        existing = ingest.opened(spark, path, ingest.STAGING)
+        ingest.append(ingest.absent(pages_added, existing), path)
+    return stage.kept(ingest.opened(spark, path, ingest.STAGING), path).select("id", "url", "name")
+
+
+def recipes_appended(spark: SparkSession, folder: str) -> DataFrame:
+    """A curated table made anew, the curated recipes and then the records of staging appended as they are, read back."""
+    path = stage.new_path(spark, "recipes")
+    ingest.opened(spark, path, ingest.CURATED)
+    ingest.append(table(spark, folder, "recipes").select(*ingest.COLUMNS), path)
+    ingest.append(ingest.curated(table(spark, folder, "recipe_urls").select("id", "url", "name", "data")), path)
+    return stage.kept(ingest.opened(spark, path, ingest.CURATED), path).select("id", "name", "portions", "calories", "sodium")
+
+
+def recipe_models_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the curated table as a model."""
+    return ingest.models(table(spark, folder, "recipes"))
+
+
+def recipe_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every model as a row of the curated table."""
+    return ingest.rows_of(table(spark, folder, "recipe_models"))
+
+
 def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
     """The addresses in one sitemap document per staged page."""
     safe = F.col("url")
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         safe = F.replace(safe, F.lit(raw), F.lit(entity))
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), safe, F.lit("</loc></url></urlset>"))
-    documents = table(spark, folder, "recipe_urls").filter("sitemap_id is not null").select(F.col("sitemap_id").alias("id"), xml.alias("xml"))
+    documents = table(spark, folder, "recipe_urls").select(F.col("sitemap_id").alias("id"), xml.alias("xml"))
     return sitemaps.sitemap_rows(documents, "xml", "id")
 
 
@@ -231,7 +279,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         facet_categories, facet_cuisines, names_filtered, name_search, ingredient_word, ingredients_all_of, found_texts, recipe_texts, recipe_by_id,
-        recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages, crawled_anew,
+        recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages,
+        crawled_frontier, staging_appended, recipes_appended, recipe_models_read, recipe_rows, guided_search, guided_choice,
         sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found, p7_objects,
     )
 }

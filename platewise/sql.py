@@ -71,6 +71,19 @@ def _measured(field: str, named: str, words: str, feed_unit: str, common: str, s
 
 _NUMBER = r"(?:(\d+)[ \x{00A0}]+)?(\d+)/(\d+)|(\d+)?[ \x{00A0}]?([¼½¾⅛])|(\d+(?:[, \x{00A0}]\d{3})*)([.,]\d+)?"
 
+_CURATED = f"""
+select id, data ->> '$.name' as name, data ->> '$.description' description, data ->> '$.image.url' image,
+  cast(to_json(coalesce(string_split(replace(data ->> '$.keywords', ' ', ''), ','), [])) as varchar) keywords,
+  data ->> '$.cookTime' cook_time, data ->> '$.prepTime' prep_time, data ->> '$.totalTime' total_time, data ->> '$.recipeCategory' category,
+  data ->> '$.recipeCuisine' cuisine, cast(json_extract(data, '$.recipeIngredient') as varchar) ingredients, cast(to_json({_STEPS}) as varchar) instructions,
+  data ->> '$.recipeYield' portions, {_nutrition('calories', ' calories')} calories, {_nutrition('fatContent', ' grams fat')} fat,
+  {_nutrition('saturatedFatContent', ' grams saturated fat')} saturated_fat, {_nutrition('carbohydrateContent', ' grams carbohydrates')} carbohydrate,
+  {_nutrition('sugarContent', ' grams sugar')} sugar, {_nutrition('fiberContent', ' grams fiber')} fiber, {_nutrition('proteinContent', ' grams protein')} protein,
+  {_nutrition('sodiumContent', ' milligram of sodium')} sodium
+from {_OBJECTS}
+where data ->> '$.name' is not null and data ->> '$.description' is not null and data ->> '$.image.url' is not null and json_type(data, '$.recipeIngredient') = 'ARRAY'
+  and data ->> '$.recipeInstructions' is not null"""
+
 SQL: dict[str, str] = {
     "facet_categories": rf"""
 select distinct regexp_replace(c, '{_ENDS}', '', 'g') category from (select unnest(string_split(lower(category), ',')) c from recipes where category is not null)""",
@@ -96,26 +109,36 @@ select min(id) id, url from sitemap where (completed is null or not completed) a
     "crawled_pages": """
 select r.id, r.url, r.name from recipe_urls r join (
   select min(r.id) id from recipe_urls r join sitemap s on s.id = r.sitemap_id
-  where r.id % 3 <> 0 and s.url in (select url from sitemap where completed = false) and r.url not in (select url from recipe_urls where id % 2 = 1)
+  where r.id % 3 <> 0 and s.url in (select url from sitemap where completed = false) and r.url not in (select url from recipe_urls where url is not null and sitemap_id in (select id from sitemap where completed))
   group by r.url) using (id)""",
-    "sitemap_urls": rf"select sitemap_id id, regexp_replace(url, '^[ \n]+|[ \n]+$', '', 'g') url from recipe_urls where sitemap_id is not null",
+    "crawled_frontier": """
+with listed as (select s.url sitemap, r.url, json_valid(r.data) fetched from sitemap s join recipe_urls r on r.sitemap_id = s.id where s.url in (select url from sitemap where completed = false)),
+reached as (select url from listed where fetched union select url from recipe_urls where sitemap_id in (select id from sitemap where completed)),
+whole as (select sitemap from listed group by sitemap having bool_and(url in (select url from reached)))
+select id, url, case when url in (select sitemap from whole) then true else completed end completed from sitemap""",
+    "staging_appended": """
+with first as (select min(id) id from recipe_urls where sitemap_id in (select id from sitemap where completed) group by url),
+later as (select min(id) id from recipe_urls where url not in (select url from recipe_urls where id in (select id from first)) group by url)
+select id, url, name from recipe_urls join (select id from first union all select id from later) using (id)""",
+    "recipes_appended": "select id, name, portions, calories, sodium from recipes union all select id, name, portions, calories, sodium from (" + _CURATED + ")",
+    "recipe_models_read": rf"""
+select id, name, description, image, {_LIST.format('keywords')} keywords, cook_time, prep_time, total_time, category, cuisine, {_LIST.format('ingredients')} ingredients,
+  {_LIST.format('instructions')} instructions, cast(case when regexp_full_match(portions, '\s*[+-]?\d+\s*') then portions end as integer) portions,
+  {', '.join(f'cast({n} as varchar) {n}' for n in ('calories', 'fat', 'saturated_fat', 'carbohydrate', 'sugar', 'fiber', 'protein', 'sodium'))} from recipes""",
+    "recipe_rows": f"""
+select id, name, description, image, {', '.join(f"cast(to_json({n}) as varchar) {n}" for n in ('keywords', 'ingredients', 'instructions'))}, cook_time, prep_time, total_time, category, cuisine,
+  cast(portions as varchar) portions, {', '.join(f'try_cast({n} as double) {n}' for n in ('calories', 'fat', 'saturated_fat', 'carbohydrate', 'sugar', 'fiber', 'protein', 'sodium'))} from recipe_models""",
+    "guided_search": "select name, id from recipes where lower(ingredients) like '%butter%' and lower(ingredients) like '%egg%' and lower(ingredients) like '%salt%'",
+    "guided_choice": f"""
+select '7' asked, 'Cuisine: Thai' || chr(10) || 'Category: Main course' || chr(10) || {_TEXT} as text from recipes where id = 7
+union all select '999999999', 'Can''t find anything to cook' union all select '7 recipes', 'Invalid recipe ID.' union all select null, 'Can''t find anything to cook'""",
+    "sitemap_urls": rf"select sitemap_id id, regexp_replace(url, '^[ \n]+|[ \n]+$', '', 'g') url from recipe_urls",
     "json_fields": f"""
 select r.id, o.data ->> '$.image.url' image, replace(o.data ->> '$.nutrition.calories', ' calories', '') calories,
   replace(o.data ->> '$.nutrition.fatContent', ' grams fat', '') fat, replace(o.data ->> '$.nutrition.sodiumContent', ' milligram of sodium', '') sodium
 from recipe_urls r left join {_OBJECTS} o using (id)""",
     "keyword_lists": "select distinct id, string_split(replace(keywords, ' ', ''), ',') keywords from parsed_recipes",
-    "curated_recipes": f"""
-select id, data ->> '$.name' as name, data ->> '$.description' description, data ->> '$.image.url' image,
-  cast(to_json(coalesce(string_split(replace(data ->> '$.keywords', ' ', ''), ','), [])) as varchar) keywords,
-  data ->> '$.cookTime' cook_time, data ->> '$.prepTime' prep_time, data ->> '$.totalTime' total_time, data ->> '$.recipeCategory' category,
-  data ->> '$.recipeCuisine' cuisine, cast(json_extract(data, '$.recipeIngredient') as varchar) ingredients, cast(to_json({_STEPS}) as varchar) instructions,
-  data ->> '$.recipeYield' portions, {_nutrition('calories', ' calories')} calories, {_nutrition('fatContent', ' grams fat')} fat,
-  {_nutrition('saturatedFatContent', ' grams saturated fat')} saturated_fat, {_nutrition('carbohydrateContent', ' grams carbohydrates')} carbohydrate,
-  {_nutrition('sugarContent', ' grams sugar')} sugar, {_nutrition('fiberContent', ' grams fiber')} fiber, {_nutrition('proteinContent', ' grams protein')} protein,
-  {_nutrition('sodiumContent', ' milligram of sodium')} sodium
-from {_OBJECTS}
-where data ->> '$.name' is not null and data ->> '$.description' is not null and data ->> '$.image.url' is not null and json_type(data, '$.recipeIngredient') = 'ARRAY'
-  and data ->> '$.recipeInstructions' is not null""",
+    "curated_recipes": _CURATED,
     "list_literals": f"""
 select id, unnest(range(0, len(l)))::integer pos, unnest(l) ingredient from (select id, {_LIST.format('ingredients')} l from recipes)""",
     "menu_grid": """

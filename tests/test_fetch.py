@@ -62,6 +62,15 @@ def test_whole_crawl(spark, site, tmp_path):
     assert {r.url: r.completed for r in spark.read.parquet(frontier).collect()} == {f"{site}/map.xml": True, f"{site}/broken.xml": False}
 
 
+def test_index_that_cannot_be_read(spark, site, tmp_path):
+    PAGES["/fine.xml"] = f"<urlset {NAMESPACE}><url><loc>u</loc></url></urlset>"
+    PAGES["/torn.xml"] = "<urlset><url>"
+    for bad in ("http://127.0.0.1:1/away", f"{site}/nowhere.xml", f"{site}/torn.xml"):
+        with pytest.raises(crawl.UnreadSitemap, match=bad):
+            crawl.add_sitemaps(spark, [f"{site}/fine.xml", bad], f"{tmp_path}/frontier")
+    assert ingest.opened(spark, f"{tmp_path}/frontier", ingest.FRONTIER).count() == 0
+
+
 def test_sitemap_with_a_failed_page_stays_unfinished(spark, site, tmp_path):
     pages = {"x": ("p", "q"), "y": ("q",), "z": ("p",), "empty": ()}
     away = "http://127.0.0.1:1/away"

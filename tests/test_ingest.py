@@ -35,10 +35,19 @@ def test_sitemaps(spark):
     assert [tuple(r) for r in sitemaps.sitemap_rows(df, "xml", "id").collect()] == [(1, "http://test.com")]
 
 
+def test_rows_without_an_order_and_repeated_rows(spark):
+    rows = [(None, "u", "b", {"k": 1}), (None, "u", "a", None), (None, "v", "c", None), (2, "v", "later", None), (None, None, "n", None), (5, "w", "y", None), (5, "w", "x", None), (5, "w", "x", None)]
+    incoming = spark.createDataFrame(rows, "id long, url string, `a name` string, extra map<string,int>")
+    got = ingest.absent(incoming, spark.createDataFrame([], "url string"))
+    assert got.columns == incoming.columns
+    assert sorted(((r.url or "", r.id, r["a name"]) for r in got.collect()), key=str) == sorted([("u", None, "a"), ("v", 2, "later"), ("", None, "n"), ("w", 5, "x")], key=str)
+
+
 def test_insert_if_absent(spark):
     incoming = spark.createDataFrame([(2, "u", "second"), (1, "u", "first"), (3, "v", "x"), (4, None, "n"), (5, None, "m")], "id long, url string, name string")
     existing = spark.createDataFrame([("v",), ("v",), (None,)], "url string")
-    assert sorted(tuple(r) for r in ingest.absent(incoming, existing).collect()) == [(1, "u", "first"), (4, None, "n")]
+    assert sorted(tuple(r) for r in ingest.absent(incoming, existing).collect()) == [(1, "u", "first")]
+    assert sorted(tuple(r) for r in ingest.absent(incoming, existing.filter("url is not null")).collect()) == [(1, "u", "first"), (4, None, "n")]
     assert ingest.absent(incoming, existing.limit(0)).count() == 3
     assert ingest.absent(incoming.limit(0), existing).count() == 0
 
@@ -73,6 +82,30 @@ def test_curated(spark):
     assert (row.calories, row.fat, row.ingredients, row.keywords) == (100.0, None, '["a"]', "[]")
 
 
+def test_models_and_rows(spark):
+    rows = [(1, '["a", null]', "4", 100.0), (2, "('b', 'c\\x41',)", "Serves 8", None), (3, None, None, 1.5), (4, "x", " 7 ", None)]
+    some = {"id": "id", "ingredients": "ingredients", "portions": "portions", "calories": "calories"}
+    df = spark.createDataFrame(rows, "id long, ingredients string, portions string, calories double")
+    whole = df.select(*(F.col(some[c]) if c in some else F.lit(None).cast("double" if c in jsonld.NUMBERS else "string").alias(c) for c in ingest.COLUMNS))
+    models = ingest.models(whole)
+    got = [(r.id, r.ingredients, r.portions, r.calories) for r in models.orderBy("id").collect()]
+    assert got == [(1, ["a", None], 4, "100.0"), (2, ["b", "cA"], None, None), (3, None, None, "1.5"), (4, None, 7, None)]
+    back = ingest.rows_of(models).orderBy("id").collect()
+    assert [(r.ingredients, r.portions, r.calories) for r in back] == [('["a",null]', "4", 100.0), ('["b","cA"]', None, None), (None, None, 1.5), (None, "7", None)]
+    assert ingest.models(whole.limit(0)).columns == ingest.COLUMNS
+
+
+def test_replacing_a_table_survives_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    first = spark.createDataFrame([(1, "u", None)], ingest.FRONTIER)
+    ingest.replace(first, path)
+    ingest.replace(ingest.opened(spark, path, ingest.FRONTIER).withColumn("completed", F.lit(True)), path)
+    assert [r.completed for r in ingest.opened(spark, path, ingest.FRONTIER).collect()] == [True]
+    # As a run would leave it that ended between the two moves.
+    (tmp_path / "table").rename(tmp_path / "table.old")
+    assert [r.url for r in ingest.opened(spark, path, ingest.FRONTIER).collect()] == ["u"]
+
+
 def test_crawl_twice(spark):
     frontier = spark.createDataFrame([(1, "s1", False), (2, "s2", True)], ingest.FRONTIER)
     fetched = spark.createDataFrame([(1, "s1", "a", page()), (2, "s1", "a", page(title="later")), (3, "s1", "b", page("Collection")), (4, "s2", "c", page())], "id long, sitemap_url string, url string, html string")

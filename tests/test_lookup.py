@@ -4,14 +4,29 @@ from pyspark.sql import functions as F
 from platewise.operators import lookup
 
 
-@pytest.mark.parametrize(("small", "least"), [(100, 10), (0, 10), (0, 10_000)])
-def test_same_rows_by_any_plan(spark, monkeypatch, small, least):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", small)
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize(("small", "least"), [(1 << 20, 10), (0, 10), (0, 10_000)])
+def test_same_rows_by_any_plan(spark, monkeypatch, small, least, how):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", small)
     monkeypatch.setattr(lookup, "LEAST_HOT", least)
-    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 40}" if k % 4 else None) for k in range(300)], "n long, key string")
+    monkeypatch.setattr(lookup, "HOT_SHARE", 20)
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 40}" if k % 4 else None) for k in range(300)] * 2, "n long, key string")
     table = rows.groupBy("key").agg(F.count("*").alias("times")).withColumn("code", F.xxhash64("key")).filter("code % 2 <> 5")
-    got = lookup.looked_up(rows, table, "key", "times")
-    want = rows.join(table.drop("times"), "key")
+    got = lookup.looked_up(rows, table, "key", "times", how)
+    want = rows.join(table.drop("times"), "key", how)
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert lookup.looked_up(rows.limit(0), table, "key", "times").collect() == lookup.looked_up(rows, table.limit(0), "key", "times").collect() == []
+    assert order(got.select(*want.columns)) == order(want)
+    assert lookup.looked_up(rows.limit(0), table, "key", "times", how).collect() == []
+    assert lookup.looked_up(rows, table.limit(0), "key", "times", how).count() == (600 if how == "left" else 0)
+
+
+def test_only_few_bytes_are_broadcast(spark):
+    texts = spark.createDataFrame([(str(k), "x" * 100_000) for k in range(400)], "key string, text string")
+    nothing = spark.createDataFrame([], "key string, text string")
+    assert lookup.table_bytes(texts) > lookup.BROADCAST_BYTES > lookup.table_bytes(texts.limit(100)) > 10_000_000
+    assert lookup.table_bytes(nothing) == 0
+    kinds = spark.sql("select 1 a, array(1L, 2L) b, array('xyz', null) c, struct('q', 2) d, map('k', 'v') e, cast(null as string) f, binary('12') g")
+    assert 300 < lookup.table_bytes(kinds) < 600
+    plan = lookup.looked_up(texts, texts.groupBy("text", "key").agg(F.count("*").alias("times")), ["key", "text"], "times")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan

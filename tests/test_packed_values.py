@@ -1,6 +1,9 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from platewise.operators import packed_values
 from platewise.operators.packed_values import split_packed, unpacked
 
 
@@ -42,3 +45,35 @@ def test_rows(spark):
     clash = spark.createDataFrame([("x", "y", "a|b", 1)], "Item string, pos string, values string, row int")
     assert [tuple(r) for r in unpacked(clash, "values").collect()] == [(1, 1, "a"), (1, 2, "b")]
     assert unpacked(df.withColumnRenamed("id", "a.b c"), "packed").columns == ["a.b c", "pos", "item"]
+
+
+def test_marks_that_never_close_take_linear_time():
+    for mark in ("“", '"', "'", "„", '"\\', "“x", "‘a’b"):
+        text = mark * 200_000
+        began = time.perf_counter()
+        split_packed(text)
+        assert time.perf_counter() - began < 5, mark
+
+
+@given(st.text("ab \\'\"“”„‘’«», ;", max_size=14))
+@settings(deadline=None, max_examples=500)
+def test_closing_marks_as_by_scanning(text):
+    def scanned(start, opener):
+        depth, i = 1, start
+        while i < len(text):
+            c = text[i]
+            if c == "\\" and i + 1 < len(text):
+                i += 2
+                continue
+            inside = c in "'’" and 0 < i < len(text) - 1 and text[i - 1].isalnum() and text[i + 1].isalnum()
+            if c in packed_values.CLOSERS[opener] and not inside:
+                depth -= 1
+                if depth == 0:
+                    return i
+            elif c == opener and c not in packed_values.CLOSERS[opener]:
+                depth += 1
+            i += 1
+
+    for opener in packed_values.CLOSERS:
+        found = packed_values._closings(text, opener)
+        assert {i: found.get(i) for i, c in enumerate(text) if c == opener} == {i: scanned(i + 1, opener) for i, c in enumerate(text) if c == opener}

@@ -34,11 +34,19 @@ def test_nothing_else_imports_the_subpackage():
             assert "platewise.llm" not in path.read_text(), path
 
 
-def test_crawl_after_all_completed_sitemaps(spark):
-    want = oracle.database().execute("""
-      select min(r.id) from recipe_urls r join sitemap s on s.id = r.sitemap_id
-      where r.id % 3 <> 0 and s.url in (select url from sitemap where completed = false)
-        and r.url not in (select url from recipe_urls where url is not null and sitemap_id in (select id from sitemap where completed))
-      group by r.url""").fetchall()
-    got = [r.id for r in queries.QUERIES["crawled_anew"](spark, str(oracle.DATA)).collect()]
-    assert sorted(got) == sorted(i for i, in want) and got
+def test_guided_search_shows_ten_of_more(spark):
+    from platewise.operators import search
+
+    found = spark.range(25).selectExpr("id", "'n' name")
+    assert len({r.id for r in search.options(found).collect()}) == 10
+    assert search.options(found.limit(10)).count() == 10 and search.options(found.limit(0)).count() == 0
+
+
+def test_answers_to_odd_identifiers(spark):
+    from platewise.operators import search
+
+    recipes = spark.read.parquet(f"{oracle.DATA}/recipes.parquet")
+    said = lambda asked: [r.text for r in search.answer(recipes, asked).collect()]
+    assert said(str(1 << 70)) == said("-1") == said(None) == [search.NOT_FOUND]
+    assert said("") == said("1.5") == [search.INVALID]
+    assert said(" +7 ")[0].startswith("<b>")
