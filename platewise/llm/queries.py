@@ -37,7 +37,7 @@ def _pairs(spark: SparkSession, folder: str, least: int = 1, share: int | None =
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ingredients, and keywords, found together far more often than chance."""
-    return _pairs(spark, folder, least=10, share=1000).filter("k * n >= 4 * in_a * in_b").select("field", "term_a", "term_b")
+    return _pairs(spark, folder, least=10, share=1000).filter(together.above_chance(4)).select("field", "term_a", "term_b")
 
 
 def _with_odds(pairs: DataFrame) -> DataFrame:

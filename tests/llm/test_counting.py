@@ -5,7 +5,7 @@ from random import Random
 import pyarrow as pa
 import pytest
 
-from platewise.llm import term_counts, together
+from platewise.llm import codes, term_counts, together
 from platewise.operators import lookup
 
 SCHEMA = "field string, terms array<string>"
@@ -20,9 +20,11 @@ def baskets(count=400):
     return rows + [("f", None), ("f", []), ("g", ["alone"])]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_pairs_as_by_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1000 if small else 0)
+@pytest.mark.parametrize(("small", "bits"), [(True, 31), (False, 31), (True, 4), (False, 5)])
+def test_pairs_as_by_brute_force(spark, monkeypatch, small, bits):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20 if small else 0)
+    monkeypatch.setattr(codes, "HELD_BYTES", 1 << 20 if small else 0)
+    monkeypatch.setattr(together, "BITS", bits)
     monkeypatch.setattr(lookup, "LEAST_HOT", 20)
     rows = baskets()
     n = Counter(f for f, t in rows if t)
@@ -45,10 +47,16 @@ def test_pairs_of_nothing_and_of_a_long_record(spark):
     assert together.pair_counts(spark.createDataFrame([("f", long)], SCHEMA)).count() == 800 * 799 // 2
 
 
+def test_counts_of_billions(spark):
+    rows = [(k, a, b, n) for k in (10, 3 * 10**9) for a in (3 * 10**9,) for b in (4 * 10**9,) for n in (5 * 10**9, 16 * 10**9)]
+    df = spark.createDataFrame(rows, "k long, in_a long, in_b long, n long")
+    assert [tuple(r) for r in df.filter(together.above_chance(4)).collect()] == [r for r in rows if r[0] * r[3] >= 4 * r[1] * r[2]] == [rows[3]]
+
+
 def test_runs_merge_across_batches(monkeypatch):
     monkeypatch.setattr(together, "BUFFER", 3)
-    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2, 3], [1, 2], [], [2, 3], [1, 2, 3]], pa.list_(pa.int64()))], ["terms"])
-    runs = [(c, k) for b in together.sorted_runs([batch]) for c, k in zip(*(b.column(n).to_pylist() for n in ("code", "k")))]
+    batch = pa.RecordBatch.from_arrays([pa.array([[9], [1, None, 3, 2], [2, 1], [], None, [2, 3], [1, 2, 3], [None]], pa.list_(pa.int64()))], ["codes"]).slice(1)
+    runs = [(c, k) for b in together.sorted_runs()([batch]) for c, k in zip(*(b.column(n).to_pylist() for n in ("code", "k")))]
     ordered = sorted(runs)
     parts = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered[at : at + 2]], pa.int64()), pa.array([x[1] for x in ordered[at : at + 2]], pa.int64())], ["code", "k"]) for at in range(0, len(ordered), 2)]
     merged = {c: k for b in together.merged_runs(parts) for c, k in zip(*(b.column(n).to_pylist() for n in ("code", "k")))}
