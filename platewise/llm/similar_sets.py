@@ -1,14 +1,14 @@
 """All similar pairs between set-valued records, by T-occurrence list merging.
 
-Records with equal sets form one class; only classes are compared. Terms are numbered from rare to common.
-Two sets of Jaccard similarity t or more share one of the first ``n - ceil(t n) + 1`` terms of each, so every
-class is posted under those of its terms, and the postings of one term are one inverted-list partition. In
-it, each class probes the inverted lists of the terms that follow: the longest lists are set aside for binary
-search, the short ones are merged by a heap that skips ahead, and classes that reach the required overlap
-are emitted, each pair only under the first term it shares.
-
-A term whose postings exceed ``BLOCK`` is split into blocks, and pairs of blocks are separate groups, so that
-no task holds more than two blocks.
+Every distinct value is normalised and numbered once, from rare to common, and a record becomes the sorted list of its
+numbers. Records with equal sets form one class; only classes are compared. Two sets of Jaccard similarity t or more share
+one of the first ``n - ceil(t n) + 1`` terms of each, so every class is posted under those of its terms, and the postings of
+one term are one inverted-list partition. In it, each class probes the inverted lists of the terms that follow: the longest
+lists are set aside for binary search, the short ones are merged by a heap that skips ahead, and classes that reach the
+required overlap are emitted, each pair only under the first term it shares (which is why postings keep the terms before).
+
+A term whose postings exceed ``BLOCK`` is split into blocks by size, and pairs of blocks whose sizes can be similar are
+separate groups, so that no task holds more than two blocks. The result is links between classes and the classes' members.
 """
 
 from __future__ import annotations
@@ -17,20 +17,27 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
-from math import log2
+from math import log, log2
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.text import term_set
-from platewise.operators.lookup import hinted, looked_up
+from platewise.functions.text import normalised
+from platewise.llm.codes import coded, starts
+from platewise.operators.lookup import BROADCAST_BYTES, hinted, looked_up, table_bytes
+from platewise.operators.numbering import numbered
 from platewise.stage import written
 
 #: Cost of merging a number, as a share of searching it in a list of two.
 MERGE_COST = 0.01
 #: Postings of one term that one group holds; more are split into pairs of blocks.
 BLOCK = 4096
+#: Members of a class that pairs are made of at a time.
+CHUNK = 1000
 
 
 def required(n: int, threshold: Fraction) -> int:
@@ -113,27 +120,29 @@ def merged(group: list[tuple[int, int, int, list[int]]], token: int, cross: bool
             inverted.setdefault(r, []).append(me)
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
-    """The rows of each (token, low, high) in a partition sorted by them; a group may span batches."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, int, list[tuple]]]:
+    """Of each group (token, low, high) in a partition sorted by them: whether it is of two blocks, its token, its rows. A group may span batches."""
     key, rows = None, []
     for batch in batches:
-        c = {n: batch.column(n).to_pylist() for n in ("token", "low", "high", "block", "cls", "n", "ranks")}
-        for t, i, j, *row in zip(*c.values()):
+        ends, values = starts(batch.column("ranks"))
+        values, ends = values.to_numpy().tolist(), ends.tolist()
+        plain = (batch.column(n).to_numpy().tolist() for n in ("token", "low", "high", "block", "cls", "n"))
+        for k, (t, i, j, *row) in enumerate(zip(*plain)):
             if (t, i, j) != key:
                 if len(rows) > 1:
-                    yield key, rows
+                    yield key[1] != key[2], key[0], rows
                 key, rows = (t, i, j), []
-            rows.append(tuple(row))
+            rows.append((*row, values[ends[k] : ends[k + 1]]))
     if len(rows) > 1:
-        yield key, rows
+        yield key[1] != key[2], key[0], rows
 
 
 def _emit(threshold: Fraction):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], ["cls_a", "cls_b", "common"])
-        for (token, low, high), rows in _groups(batches):
-            for pair in merged(rows, token, low != high, threshold):
+        for cross, token, rows in _groups(batches):
+            for pair in merged(rows, token, cross, threshold):
                 out.append(pair)
                 if len(out) >= 50_000:
                     yield pack()
@@ -143,73 +152,162 @@ def _emit(threshold: Fraction):
     return run
 
 
+#: Code of blank values.
+_BLANK = 0
+
+
+def _ranked(kind: pa.DataType):
+    """Records with the codes of their terms to sets: the number of terms, the ascending ranks of those that any other record may have, and a print of the whole set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, codes = batch.column("terms").flatten(), batch.column("codes")
+            ends, codes = starts(codes)
+            count = len(ends) - 1
+            of = np.repeat(np.arange(count), np.diff(ends))
+            known = codes.is_valid().to_numpy(zero_copy_only=False)
+            alone = np.flatnonzero(~known & terms.is_valid().to_numpy(zero_copy_only=False))
+            values, of_known = codes.drop_null().to_numpy(), of[known]
+            order = np.lexsort((values, of_known))
+            values, of_known = values[order], of_known[order]
+            distinct = (values != _BLANK) & np.r_[True, (values[1:] != values[:-1]) | (of_known[1:] != of_known[:-1])][: len(values)]
+            values, of_known = values[distinct], of_known[distinct]
+            at = np.r_[0, np.cumsum(np.bincount(of_known, minlength=count))]
+            n = np.diff(at) + np.bincount(of[alone], minlength=count)
+            own: dict[int, list[str]] = {}
+            for record, term in zip(of[alone].tolist(), terms.take(pa.array(alone)).to_pylist()):
+                own.setdefault(record, []).append(term)
+            raw, fields = values.tobytes(), batch.column("field").to_pylist()
+            prints = []
+            for k, (field, start, end) in enumerate(zip(fields, at[:-1].tolist(), at[1:].tolist())):
+                digest = xxhash.xxh3_128(raw[8 * start : 8 * end])
+                if k in own:
+                    digest.update("\0".join([field, *sorted(own[k])]).encode("utf-8", "surrogatepass"))
+                prints.append(digest.digest())
+            ranks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values).cast(kind))
+            keep = pa.array(n > 0)
+            columns = [batch.column(c) for c in ("side", "field", "id")] + [pa.array(n.astype(np.int32)), ranks, pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["side", "field", "id", "n", "ranks", "print"]).filter(keep)
+
+    return run
+
+
 def set_records(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(field, id, terms) of the non-empty sets of ``df``: distinct normalised terms, null and blank ones left out."""
-    each = F.array(*(F.struct(F.lit(name).alias("field"), term_set(column).alias("terms")) for name, column in fields.items()))
-    rows = df.select(F.col(f"`{key}`").alias("id"), F.inline(each))
-    return rows.filter(F.size("terms") > 0).select("field", "id", "terms")
+    """(field, id, terms) of the rows of ``df`` that have values in a field."""
+    each = F.array(*(F.struct(F.lit(name).alias("field"), column.alias("terms")) for name, column in fields.items()))
+    return df.select(F.col(f"`{key}`").alias("id"), F.inline(each)).filter(F.size("terms") > 0).select("field", "id", "terms")
 
 
-def set_classes(records: DataFrame) -> DataFrame:
-    """The classes of equal sets: cls, field, print (SHA-256 of the set), terms, copies. Written to a stage."""
-    grouped = records.groupBy("field", "terms").agg(F.count(F.lit(1)).alias("copies"))
-    return written(grouped.select(F.monotonically_increasing_id().alias("cls"), "field", _print(F.col("terms")), "terms", "copies"), "set-classes")
+def ranked_sets(records: DataFrame) -> DataFrame:
+    """(side, field, id, n, ranks, print) of the non-empty sets of (side, field, id, terms), a stage."""
+    records = records.filter(F.size("terms") > 0).select(F.monotonically_increasing_id().alias("rec"), "side", "field", "id", "terms")
+    raws = records.select("field", F.explode("terms").alias("raw")).filter("raw is not null").groupBy("field", "raw").agg(F.count(F.lit(1)).alias("times"))
+    raws = written(raws.withColumn("term", normalised(F.col("raw"))), "set-raws")
+    # A term that is written once in all joins nothing; such terms only count towards sizes.
+    shared = raws.filter("term <> ''").groupBy("field", "term").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("spelt")).filter("all > 1")
+    ranks = written(numbered(shared, "all", "field", "term", name="rank"), "set-terms")
+    named = looked_up(raws, ranks.select("field", "term", "spelt", (F.col("rank") + 1).alias("code")), ["field", "term"], "spelt")
+    blank = raws.filter("term = ''").withColumn("code", F.lit(_BLANK).cast("long"))
+    dictionary = written(named.unionByName(blank).select("field", F.col("raw").alias("term"), "code", "times"), "set-dictionary")
+    small = (ranks.agg(F.max("rank")).first()[0] or 0) + 1 < 1 << 31
+    schema = f"side int, field string, id {records.schema['id'].dataType.simpleString()}, n int, ranks array<{'int' if small else 'long'}>, print binary"
+    return written(coded(records, dictionary, "times", _ranked(pa.int32() if small else pa.int64()), schema), "set-ranked")
 
 
-def _print(terms: Column) -> Column:
-    return F.unhex(F.sha2(F.to_json(terms), 256)).alias("print")
+def set_classes(ranked: DataFrame) -> DataFrame:
+    """(cls, print, n, ranks, copies): the classes of equal sets, a stage. Sets without a term that another may have are left out."""
+    grouped = ranked.filter(F.size("ranks") > 0).groupBy("print", "n", "ranks").agg(F.count(F.lit(1)).alias("copies"))
+    return written(grouped.select(F.monotonically_increasing_id().alias("cls"), "print", "n", "ranks", "copies"), "set-classes")
 
 
 def class_links(classes: DataFrame, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
-    """(cls_a, cls_b, common) of every two classes of one field whose sets are similar; no pair comes twice."""
-    occurrences = classes.select("cls", "field", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    # A term of one class alone joins nothing; such terms only count towards sizes.
-    shared = occurrences.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranks = written(shared.orderBy("df", "field", "term").select("field", "term", "df", F.monotonically_increasing_id().alias("rank")), "set-terms")
-    ranked = looked_up(occurrences, ranks, ["field", "term"], "df").groupBy("cls", "n").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    """(cls_a, cls_b, common) of every two classes whose sets are similar; no pair comes twice."""
     least = F.ceil(F.col("n") * threshold.numerator / F.lit(float(threshold.denominator)) - F.lit(1e-9)).cast("int")
-    # Of the first n - least + 1 terms, those of one class alone come first.
-    prefix = F.size("ranks") - least + 1
-    ranked = written(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0"), "set-ranks")
-    postings = ranked.select("cls", "n", "ranks", F.explode(F.slice("ranks", F.lit(1), F.col("prefix"))).alias("token"))
-    # Only terms of more postings than a block need a second look; there are fewer of them than blocks.
-    crowded = postings.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).filter(F.col("posted") > block)
-    crowded = written(crowded.select("token", F.ceil(F.col("posted") / F.lit(block)).cast("int").alias("blocks")), "set-crowded")
-    placed = postings.join(hinted(crowded), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    sent = placed.select("token", "block", "cls", "n", "ranks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    # Of the first n - least + 1 terms, those of one record alone come first.
+    prefix = (F.size("ranks") - least + 1).cast("int")
+    # Similar sets are in the same or in neighbouring classes of size.
+    width = max(-log(threshold) + 1e-9, 1e-6)
+    postings = classes.filter(prefix > 0).select("cls", "n", "ranks", F.floor(F.log("n") / width).alias("band"), F.explode(F.slice(F.col("ranks").cast("array<long>"), F.lit(1), prefix)).alias("token"))
+    bands = postings.groupBy("token", "band").agg(F.count(F.lit(1)).alias("posted"))
+    split = F.collect_list(F.struct("band", F.ceil(F.col("posted") / F.lit(block)).cast("int").alias("blocks")))
+    posted = bands.groupBy("token").agg(F.sum("posted").alias("posted"), split.alias("bands")).filter("posted > 1")
+    # A list of bands only for terms of more postings than a block; there are fewer of them than blocks.
+    posted = written(posted.withColumn("bands", F.when(F.col("posted") > block, F.col("bands"))), "set-posted")
+    if table_bytes(posted) <= BROADCAST_BYTES:
+        placed = looked_up(postings, posted.withColumn("times", F.col("posted")), "token", "times")
+    else:
+        placed = looked_up(postings, written(posted.filter("bands is not null").withColumn("times", F.col("posted")), "set-crowded"), "token", "times", how="left")
+    code = lambda band, number: F.shiftleft(band.cast("long"), 32) + number
+    mine = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["blocks"]
+    near = F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda k: code(b["band"], k))))
+    place = F.coalesce(code(F.col("band"), F.pmod(F.xxhash64("cls"), mine.cast("long"))), F.lit(0).cast("long"))
+    sent = placed.select("token", place.alias("block"), "cls", "n", "ranks", F.explode(F.coalesce(others, F.array(F.lit(0).cast("long")))).alias("with"))
     sent = sent.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "n", "ranks")
     grouped = sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     return grouped.mapInArrow(_emit(threshold), "cls_a long, cls_b long, common long")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(field, id_a, id_b) of all pairs of records whose sets have Jaccard similarity ``threshold`` or more.
+class Similar(NamedTuple):
+    """Links (cls_a, cls_b) between classes of equal sets, a class with copies linked with itself, and the members (cls, copies, field, side, id)
+    of the classes that have links, each id once. Both are stages."""
 
-    ``left`` and ``right`` are (field, id, terms) as from :func:`set_records`. Without ``right`` the pairs are
-    within ``left``, the smaller id first; with it, id_a is from ``left`` and id_b from ``right``. Empty sets are
-    similar to nothing. Rows repeated with the same id and set count once, and no pair comes twice. Empty
-    tables give no pairs.
-    """
+    links: DataFrame
+    members: DataFrame
+
+
+def similar_classes(left: DataFrame, right: DataFrame | None = None, threshold: Fraction = Fraction(4, 5)) -> Similar:
+    """The similar sets of :func:`similar_pairs` as links between classes: as many rows as there are classes and links, however many copies a set has."""
     records = left.select("field", "id", "terms", F.lit(0).alias("side"))
     if right is not None:
         records = records.unionByName(right.select("field", "id", "terms", F.lit(1).alias("side")))
-    classes = set_classes(records)
+    ranked = ranked_sets(records)
+    classes = set_classes(ranked)
     links = class_links(classes, threshold).select("cls_a", "cls_b")
     equal = classes.filter("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     linked = written(links.unionByName(equal), "set-links")
-    wanted = linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    keys = written(classes.select("cls", "field", "print", "copies").join(wanted, "cls", "left_semi"), "set-keys")
-    prints = records.select("field", _print(F.col("terms")), "side", "id")
-    members = written(looked_up(prints, keys, ["field", "print"], "copies").select("cls", "field", "side", "id").distinct(), "set-members")
-    a = members.select(F.col("cls").alias("cls_a"), "field", F.col("side").alias("side_a"), F.col("id").alias("a"))
-    b = members.select(F.col("cls").alias("cls_b"), F.col("side").alias("side_b"), F.col("id").alias("b"))
-    pairs = linked.join(a, "cls_a").join(b, "cls_b")
+    wanted = written(linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "set-wanted")
+    keys = written(classes.select("cls", "print", "copies", F.col("copies").alias("times")).join(hinted(wanted), "cls", "left_semi"), "set-keys")
+    members = looked_up(ranked.select("print", "field", "side", "id"), keys, "print", "times").select("cls", "copies", "field", "side", "id").distinct()
+    return Similar(linked, written(members, "set-members"))
+
+
+def expanded(similar: Similar) -> DataFrame:
+    """(field, side_a, a, side_b, b) of all pairs of members of linked classes; a class linked with itself gives each pair once.
+
+    Classes of many members are taken ``CHUNK`` members at a time, so that no group makes more than its square of pairs.
+    """
+    chunks = F.ceil(F.col("copies") / F.lit(CHUNK)).cast("int")
+    members = written(similar.members.withColumn("chunk", F.pmod(F.xxhash64("side", "id"), chunks.cast("long")).cast("int")), "set-chunked")
+    sizes = similar.members.groupBy("cls").agg(F.first(chunks).alias("chunks"))
+    degrees = similar.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    sizes = written(sizes.join(degrees, "cls"), "set-sizes")
+    side = lambda c: sizes.select(F.col("cls").alias(f"cls_{c}"), F.col("chunks").alias(f"chunks_{c}"), "links")
+    sized = looked_up(looked_up(similar.links, side("a"), "cls_a", "links"), side("b"), "cls_b", "links")
+    first = sized.select("cls_a", "cls_b", "chunks_b", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)).alias("chunk_a"))
+    start = F.when(F.col("cls_a") == F.col("cls_b"), F.col("chunk_a")).otherwise(0)
+    both = first.select("cls_a", "cls_b", "chunk_a", F.explode(F.sequence(start, F.col("chunks_b") - 1)).alias("chunk_b"))
+    of = lambda c: members.select(F.col("cls").alias(f"cls_{c}"), F.col("chunk").alias(f"chunk_{c}"), F.col("side").alias(f"side_{c}"), F.col("id").alias(c), *(["field"] if c == "a" else []))
+    small = table_bytes(members) <= BROADCAST_BYTES
+    pairs = both
+    for c in ("a", "b"):
+        pairs = pairs.join(F.broadcast(of(c)) if small else of(c), [f"cls_{c}", f"chunk_{c}"])
+    apart = (F.col("cls_a") != F.col("cls_b")) | (F.col("chunk_a") != F.col("chunk_b")) | (F.struct("side_a", "a") < F.struct("side_b", "b"))
+    return pairs.filter(apart).select("field", "side_a", "a", "side_b", "b")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(field, id_a, id_b) of all pairs of records whose sets have Jaccard similarity ``threshold`` or more.
+
+    ``left`` and ``right`` are (field, id, terms) as from :func:`set_records`; the sets are the distinct normalised terms without
+    null and blank ones. Without ``right`` the pairs are within ``left``, the smaller id first; with it, id_a is from ``left``
+    and id_b from ``right``. Empty sets are similar to nothing, nor are rows with a null id. Rows repeated with the same id and
+    set count once, an id is never paired with itself within a table, and no pair comes twice. Empty tables give no pairs.
+    """
+    pairs = expanded(similar_classes(left, right, threshold))
     if right is None:
-        kept = pairs.filter((F.col("cls_a") != F.col("cls_b")) | (F.col("a") < F.col("b"))).filter("a <> b")
-        return kept.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+        return pairs.filter("a <> b").select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
     # Between two tables the class of either may come first.
     first = F.when(F.col("side_a") == 0, F.col("a")).otherwise(F.col("b"))
     second = F.when(F.col("side_a") == 0, F.col("b")).otherwise(F.col("a"))
-    kept = pairs.filter("side_a <> side_b").filter((F.col("cls_a") != F.col("cls_b")) | (F.col("side_a") == 0))
-    return kept.select("field", first.alias("id_a"), second.alias("id_b"))
+    return pairs.filter("side_a <> side_b and a is not null and b is not null").select("field", first.alias("id_a"), second.alias("id_b"))

@@ -48,7 +48,7 @@ def corpus():
 @pytest.mark.parametrize("listed", [True, False])
 def test_runs_as_by_brute_force(spark, monkeypatch, listed):
     monkeypatch.setattr(lt, "BROADCAST_GRAMS", 1_000_000 if listed else 0)
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 200_000 if listed else 0)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20 if listed else 0)
     monkeypatch.setattr(lookup, "LEAST_HOT", 2)
     docs, items = corpus()
     runs = lambda t: {tuple(w[i : i + 12]) for w in [lt.words(t)] for i in range(len(w) - 11)}

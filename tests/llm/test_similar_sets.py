@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from platewise.llm import codes
 from platewise.llm import similar_sets as ss
 from platewise.operators import lookup
 
@@ -45,11 +46,13 @@ def random_sets(seed, count=150):
     return base + near
 
 
-@pytest.mark.parametrize(("block", "threshold"), [(2, Fraction(4, 5)), (4096, Fraction(4, 5)), (3, Fraction(1, 2)), (4096, Fraction(1))])
+@pytest.mark.parametrize(("block", "threshold"), [(2, Fraction(4, 5)), (4096, Fraction(4, 5)), (3, Fraction(1, 2)), (4096, Fraction(1)), (2, Fraction(1))])
 def test_pairs_as_by_brute_force(spark, monkeypatch, block, threshold):
     if block < 10:
-        monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+        for module, name in ((lookup, "BROADCAST_BYTES"), (ss, "BROADCAST_BYTES"), (codes, "HELD_BYTES")):
+            monkeypatch.setattr(module, name, 0)
         monkeypatch.setattr(lookup, "LEAST_HOT", 10)
+        monkeypatch.setattr(ss, "CHUNK", 2)
     monkeypatch.setattr(ss.class_links, "__defaults__", (Fraction(4, 5), block))
     sets = random_sets(block)
     rows = [("f", k, sorted(s)) for k, s in enumerate(sets) if s]
@@ -75,3 +78,21 @@ def test_odd_records(spark):
     records = ss.set_records(df, "id", {"x": F.col("x"), "y": F.col("y")})
     assert sorted(tuple(r) for r in ss.similar_pairs(records).collect()) == [("x", 1, 2), ("x", 5, 6)]
     assert ss.similar_pairs(records.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [2, 1000])
+def test_classes_of_many_copies(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ss, "CHUNK", chunk)
+    sets = [["a", "b", "c", "d", "e"]] * 9 + [["A", "b ", "c", "d"]] * 7 + [["x"]] * 3 + [["lonely"], ["a", "z"]]
+    records = spark.createDataFrame([("f", k, s) for k, s in enumerate(sets)], "field string, id long, terms array<string>")
+    found = ss.similar_classes(records)
+    # Links are between the sets, however many copies they have.
+    assert found.links.count() == 4 and found.members.count() == 19
+    got = sorted((r.id_a, r.id_b) for r in ss.similar_pairs(records).collect())
+    assert got == sorted([*combinations(range(16), 2), *combinations(range(16, 19), 2)])
+
+
+def test_the_same_term_in_two_fields_and_two_spellings(spark):
+    rows = [("f", 1, ["a", "A", " a", "b"]), ("g", 2, ["a", "b"]), ("f", 3, ["B", "a"]), ("g", 4, ["b\t", "a", None, ""]), ("f", 5, ["only", "once"]), ("f", 6, ["", None])]
+    got = sorted(tuple(r) for r in ss.similar_pairs(spark.createDataFrame(rows, "field string, id long, terms array<string>")).collect())
+    assert got == [("f", 1, 3), ("g", 2, 4)]

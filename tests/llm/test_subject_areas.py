@@ -13,9 +13,9 @@ def tables(spark):
     return documents, labels, sorted(r.subject for r in read("subject_areas").collect())
 
 
-@pytest.mark.parametrize("rows", [200_000, 0])
-def test_held_out_labels(spark, monkeypatch, rows):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("size", [1 << 25, 0])
+def test_held_out_labels(spark, monkeypatch, size):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", size)
     monkeypatch.setattr(lookup, "LEAST_HOT", 100)
     documents, labels, subjects = tables(spark)
     known = labels.filter("id % 5 <> 0")
