@@ -1,11 +1,12 @@
 """Passages of evaluation texts in a corpus, by rare n-gram seeds and Smith-Waterman alignment.
 
-The n-grams of the evaluation texts are looked up in every document in one pass, which keeps the passages (hits
-with their surroundings) as word codes. Counting the hits gives each n-gram's frequency in the corpus; the
-rarest n-gram of each window of an evaluation text is a seed. A document that shares a whole window with an
-item holds the window's seed, whatever that is, so joining passages to items on seeds loses no such pair,
-and common n-grams never become join keys unless a window has no rarer one. Each joined passage is then
-aligned with its item.
+An n-gram is eight words in a row, or nine without the middle one. Both have the same codes, so a text and its copy still
+share n-grams where a word was replaced, left out or put in, down to one in every five words. One pass over the corpus
+finds the n-grams of the evaluation texts, by a bit filter of bounded size; its false hits join nothing later on. The hits
+give each n-gram's frequency in the corpus, and seeds are chosen by that: the rarest n-gram of each window of an
+evaluation text, and all that few documents have. A document that shares a whole window with an item holds the window's
+seed, whatever that is, so joining documents to items on seeds loses no such pair, and common n-grams never become join keys
+unless a window has no rarer one. Each pair is then aligned around all its shared n-grams, as far as an alignment can reach.
 """
 
 from __future__ import annotations
@@ -17,20 +18,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.operators.lookup import looked_up
+from platewise.operators.lookup import hinted, looked_up
 from platewise.stage import written
 
-#: Words of a seed n-gram, and words kept on either side of hits for the alignment.
-GRAM, MARGIN = 8, 24
-#: Distinct n-grams of the evaluation texts (8 bytes each) up to which tasks filter documents by a broadcast list;
-#: beyond, all n-grams of the corpus are joined by shuffle. Passages are the same either way.
-BROADCAST_GRAMS = 1_000_000
+#: Words of an n-gram, and how many of them come before the word that a gapped one leaves out.
+GRAM, HOLE = 8, 4
+#: A document hit is sent for n-grams in a bit filter of 16 bits for each n-gram of the evaluation texts, and at most of 2 to this power (16 MB).
+FILTER_BITS = 27
+#: An n-gram is a rare seed if at most one in so many documents, or at most so many documents, have it.
+RARE_SHARE, RARE = 1000, 20
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of the rows that are aligned at a time.
+CELLS = 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,36 +56,60 @@ def codes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_code, found), np.uint64, len(found))
 
 
-def grams(word_codes: np.ndarray, n: int) -> np.ndarray:
+def grams(word_codes: np.ndarray, gapped: bool = False) -> np.ndarray:
     """A 64-bit code for the n-gram that starts at each word."""
-    if len(word_codes) < n:
+    offsets = [k + (gapped and k >= HOLE) for k in range(GRAM)]
+    if len(word_codes) <= offsets[-1]:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(word_codes) - n + 1, np.uint64)
-    for k in range(n):
+    out = np.zeros(len(word_codes) - offsets[-1], np.uint64)
+    for k in offsets:
         out = out * _BASE + word_codes[k : k + len(out)]
     return out ^ (out >> np.uint64(29))
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman: the best local alignment score of two word sequences, and their longest common run."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0, 0
-    steps = np.arange(1, len(b) + 1, dtype=np.int64) * -GAP
-    row = np.zeros(len(b) + 1, np.int64)
-    run = np.zeros(len(b) + 1, np.int64)
-    best = longest = 0
-    for word in a:
-        same = b == word
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        straight = np.maximum(np.where(same, row[:-1] + MATCH, row[:-1] + MISMATCH), row[1:] + GAP)
-        straight = np.maximum(straight, 0)
-        # Gaps along the row: the best earlier cell less its distance.
-        row[1:] = np.maximum(straight, np.maximum.accumulate(straight + steps) - steps)
-        best = max(best, int(row.max()))
-        longest = max(longest, int(run.max()))
-    return best, longest
+def _all_grams(word_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of both kinds and where they start."""
+    plain, gapped = grams(word_codes), grams(word_codes, gapped=True)
+    return np.concatenate([plain, gapped]), np.concatenate([np.arange(len(plain)), np.arange(len(gapped))])
+
+
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Smith-Waterman: for each pair of word sequences the best local alignment score, and the longest common run.
+
+    Pairs of like lengths are aligned together, a row of each at a time.
+    """
+    found = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])), reverse=True)
+    at = 0
+    while at < len(order):
+        width = len(pairs[order[at]][1])
+        some = order[at : at + max(1, CELLS // (width + 1))]
+        at += len(some)
+        tall = max(len(pairs[k][0]) for k in some)
+        # Filled up with words that equal nothing.
+        a, b = np.zeros((len(some), tall), np.int64), np.zeros((len(some), width), np.int64)
+        in_a, in_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+        for row, k in enumerate(some):
+            for whole, real, one in ((a, in_a, pairs[k][0]), (b, in_b, pairs[k][1])):
+                whole[row, : len(one)] = one
+                real[row, : len(one)] = True
+        steps = np.arange(1, width + 1, dtype=np.int32) * np.int32(-GAP)
+        score, run = np.zeros((len(some), width + 1), np.int32), np.zeros((len(some), width + 1), np.int32)
+        best, longest = np.zeros(len(some), np.int32), np.zeros(len(some), np.int32)
+        for i in range(tall if width else 0):
+            same = (b == a[:, i : i + 1]) & in_b & in_a[:, i : i + 1]
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            straight = np.maximum(score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), score[:, 1:] + np.int32(GAP))
+            np.maximum(straight, 0, out=straight)
+            # Gaps along the row: the best earlier cell less its distance.
+            straight += steps
+            np.maximum.accumulate(straight, axis=1, out=straight)
+            score[:, 1:] = straight - steps
+            np.maximum(best, score.max(axis=1), out=best)
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for row, k in enumerate(some):
+            found[k] = int(best[row]), int(longest[row])
+    return found
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
@@ -91,102 +119,116 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64), kind))
 
 
-def _word_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [codes(t).view(np.int64) for t in batch.column("text").to_pylist()]
-        gram_lists = [grams(x.view(np.uint64), GRAM).view(np.int64) for x in lists]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(lists, pa.int64()), _lists(gram_lists, pa.int64())], ["item", "words", "grams"])
-
+        own = [codes(t) for t in batch.column("text").to_pylist()]
+        columns = [_lists([f(x).view(np.int64) for x in own], pa.int64()) for f in (lambda x: x, grams, lambda x: grams(x, gapped=True))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["item", "words", "grams", "gapped"])
 
-def _clusters(word_codes: np.ndarray, own: np.ndarray, hits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words and distinct n-grams of a document's passages: runs of hits no further apart than two margins, with a margin on either side."""
-    for cluster in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1):
-        yield word_codes[max(0, cluster[0] - MARGIN) : cluster[-1] + GRAM + MARGIN].view(np.int64), np.unique(own[cluster]).view(np.int64)
 
+def _filter_words(sought: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2 to the power of ``bits`` bits, set at the codes in ``sought`` (gram), as 64-bit words."""
+    slot = F.pmod(F.col("gram"), F.lit(1 << bits))
+    each = sought.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(gram, {1 << bits}L) & 63 as int))").alias("bit"))
+    # At most one row for each word of the filter.
+    table = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words_ = np.zeros(1 << (bits - 6), np.uint64)
+    words_[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return words_
 
-def _passage_batch(docs: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([docs, _lists([f[0] for f in found], pa.int64()), _lists([f[1] for f in found], pa.int64())], ["doc", "words", "grams"])
 
-
-def _passages(wanted):
-    """Documents to passages by the broadcast list of n-grams."""
+def _hits(held, bits: int):
+    """Documents to their distinct n-grams that pass the filter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = wanted.value
-        bits = np.zeros(1 << 22, bool)
-        bits[sought & np.uint64(len(bits) - 1)] = True
+        filter_, mask = held.value, np.uint64((1 << bits) - 1)
         for batch in batches:
-            docs, found = [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                word_codes = codes(text)
-                own = grams(word_codes, GRAM)
-                hits = np.flatnonzero(bits[own & np.uint64(len(bits) - 1)])
-                at = np.searchsorted(sought, own[hits])
-                hits = hits[sought[np.minimum(at, len(sought) - 1)] == own[hits]] if len(sought) else hits[:0]
-                if len(hits):
-                    found += _clusters(word_codes, own, hits)
-                    docs += [doc] * (len(found) - len(docs))
-            yield _passage_batch(pa.array(docs, batch.schema.field("id").type), found)
+            found = []
+            for text in batch.column("text").to_pylist():
+                own, _ = _all_grams(codes(text))
+                slot = own & mask
+                found.append(np.unique(own[(filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]))
+            lists = _lists([x.view(np.int64) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["doc", "grams"]).filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
     return run
 
 
-def _joined_passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their sorted hits to passages."""
-    for batch in batches:
-        docs, found = [], []
-        numpy = lambda x: x.values.to_numpy(zero_copy_only=False)
-        for doc, word_codes, own, hits in zip(batch.column("doc").to_pylist(), *(batch.column(n) for n in ("words", "grams", "hits"))):
-            found += _clusters(numpy(word_codes).view(np.uint64), numpy(own).view(np.uint64), numpy(hits))
-            docs += [doc] * (len(found) - len(docs))
-        yield _passage_batch(pa.array(docs, batch.schema.field("doc").type), found)
+def reaches(doc: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
+    """The parts of a document that alignments with an item through shared n-grams can reach.
+
+    An alignment of ``m`` words of the item scores ``2 m`` at most and loses 1 for each other word of the document, so none
+    spans more than ``3 m`` of these; what is further from a shared n-gram isn't part of one through it.
+    """
+    own, places = _all_grams(doc)
+    hits = np.unique(places[np.isin(own, _all_grams(item)[0])])
+    if not len(hits):
+        return []
+    far = (MATCH + 1) * len(item)
+    return [doc[max(0, part[0] - far) : part[-1] + GRAM + 1 + far] for part in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * far + GRAM) + 1)]
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("passage"), batch.column("words")
-        found = [aligned(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())], ["doc", "item", "score", "run"])
+        items = [x.values.to_numpy().view(np.uint64) for x in batch.column("words")]
+        last, doc = None, None
+        pairs, of = [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            if text != last:
+                last, doc = text, codes(text)
+            for part in reaches(doc, items[k]):
+                pairs.append((items[k].view(np.int64), part.view(np.int64)))
+                of.append(k)
+        scored = np.zeros((batch.num_rows, 2), np.int32)
+        for k, both in zip(of, aligned(pairs)):
+            scored[k] = np.maximum(scored[k], both)
+        columns = [batch.column("doc"), batch.column("item"), pa.array(scored[:, 0]), pa.array(scored[:, 1]), pa.array([len(x) for x in items], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "item", "score", "run", "length"])
+
+
+def _seeds(items: DataFrame, hits: DataFrame, documents: int, window: int) -> DataFrame:
+    """(item, gram, held) of the n-grams by which items are joined to documents."""
+    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    each = lambda column, span: items.select("item", F.size("words").alias("length"), F.posexplode(column).alias("at", "gram"), F.lit(span).alias("span"))
+    places = each("grams", GRAM).unionByName(each("gapped", GRAM + 1)).join(counts, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    places = written(places, "leaked-places")
+    # A window of so many words has as many n-grams as there are starts in it; a gram belongs to each of its windows.
+    starts = F.explode(F.sequence(F.greatest(F.col("at") - (window - GRAM), F.lit(0)), F.col("at"))).alias("start")
+    windows = places.filter(F.col("span") == GRAM).select("item", "gram", "held", "length", starts).filter(F.col("start") + window <= F.col("length"))
+    rarest = F.row_number().over(Window.partitionBy("item", "start").orderBy("held", "gram"))
+    needed = windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram", "held")
+    rare = places.filter((F.col("held") > 0) & (F.col("held") <= max(RARE, documents // RARE_SHARE))).select("item", "gram", "held")
+    return written(needed.unionByName(rare).distinct(), "leaked-seeds")
 
 
 def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> DataFrame:
-    """(doc, item, score, run): every corpus text aligned with every test text that it may hold a passage of.
+    """(doc, item, score, run, length): corpus texts aligned with the test texts that they may hold a passage of.
 
     ``corpus`` and ``tests`` are (id, text). A document and an item that share ``window`` (at least ``GRAM``) consecutive words
     are sure to come out, with ``run`` the length of the longest common run; others come out if they share a rare
-    n-gram, with ``score`` the Smith-Waterman score in words (2 for a match, -1 for a mismatch or gap). No pair comes
-    twice: of several passages the best counts. Null, empty and shorter texts give nothing, nor do empty tables.
+    n-gram, with ``score`` the Smith-Waterman score in words (2 for a match, -1 for a mismatch or gap) and ``length`` the
+    item's words. No pair comes twice: of several passages, and of several texts with one id, the best counts. Null, empty and
+    shorter texts give nothing, nor do empty tables.
     """
     spark = corpus.sparkSession
-    docs = corpus.select("id", "text")
+    docs = corpus.select("id", "text").filter("text is not null")
     id_type, item_type = corpus.schema["id"].dataType.simpleString(), tests.schema["id"].dataType.simpleString()
-    items = tests.select("id", "text").filter("text is not null").mapInArrow(_word_lists, f"item {item_type}, words array<long>, grams array<long>")
+    items = tests.select("id", "text").filter("text is not null").mapInArrow(_item_lists, f"item {item_type}, words array<long>, grams array<long>, gapped array<long>")
     items = written(items, "leaked-items")
-    sought = items.select(F.explode("grams").alias("gram")).distinct()
-    passage_type = f"doc {id_type}, words array<long>, grams array<long>"
-    if sought.count() <= BROADCAST_GRAMS:
-        listed = spark.sparkContext.broadcast(np.sort(sought.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64)))
-        passages = docs.mapInArrow(_passages(listed), passage_type)
-    else:
-        lists = docs.filter("text is not null").mapInArrow(_word_lists, f"item {id_type}, words array<long>, grams array<long>").filter(F.size("grams") > 0)
-        whole = written(lists.select(F.monotonically_increasing_id().alias("place"), F.col("item").alias("doc"), "words", "grams"), "leaked-documents")
-        found = whole.select("place", F.posexplode("grams").alias("at", "gram")).join(sought, "gram", "left_semi")
-        found = found.groupBy("place").agg(F.array_sort(F.collect_list("at")).alias("hits"))
-        passages = whole.join(found, "place").select("doc", "words", "grams", "hits").mapInArrow(_joined_passages, passage_type)
-    passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "leaked-passages")
-    hits = passages.select("passage", "doc", F.explode("grams").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    places = items.select("item", F.posexplode("grams").alias("at", "gram")).join(counts, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    # A window of so many words has as many n-grams as there are starts in it; a gram belongs to each of its windows.
-    starts = F.explode(F.sequence(F.greatest(F.col("at") - (window - GRAM), F.lit(0)), F.col("at"))).alias("start")
-    length = items.select("item", F.size("words").alias("length"))
-    windows = places.select("item", "gram", "held", starts).join(length, "item").filter(F.col("start") + window <= F.col("length"))
-    rarest = F.row_number().over(Window.partitionBy("item", "start").orderBy("held", "gram"))
-    seeds = written(windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram", "held").distinct(), "leaked-seeds")
-    pairs = looked_up(hits, seeds, "gram", "held").select("passage", "item").distinct()
-    joined = pairs.join(passages.select("passage", "doc", F.col("words").alias("passage_words")), "passage").join(items.select("item", "words"), "item")
-    ready = joined.select("doc", "item", F.col("passage_words").alias("passage"), "words")
-    scored = ready.mapInArrow(_align, f"doc {id_type}, item {item_type}, score int, run int")
-    return scored.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("run").alias("run"))
+    sought = items.select(F.explode(F.concat("grams", "gapped")).alias("gram")).distinct()
+    bits = min(FILTER_BITS, max(12, (16 * sought.count()).bit_length()))
+    passed = spark.sparkContext.broadcast(_filter_words(sought, bits))
+    hits = written(docs.mapInArrow(_hits(passed, bits), f"doc {id_type}, grams array<long>"), "leaked-hits").select("doc", F.explode("grams").alias("gram"))
+    seeds = _seeds(items, hits, corpus.count(), window)
+    pairs = written(looked_up(hits, seeds, "gram", "held").select("doc", "item").distinct(), "leaked-pairs")
+    # How often an item's words are wanted, for the join to split items that many documents have.
+    wanted = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
+    texts = docs.withColumnRenamed("id", "doc").join(hinted(pairs), "doc")
+    words_of = written(items.select("item", "words").join(wanted, "item"), "leaked-words")
+    scored = looked_up(texts, words_of, "item", "times").select("doc", "item", "text", "words").mapInArrow(_align, f"doc {id_type}, item {item_type}, score int, run int, length int")
+    return scored.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.max("length").alias("length"))
+
+
+def score_share(score: Column, length: Column) -> Column:
+    """A score as a share of what a whole unedited copy of the item scores."""
+    return score / (length * MATCH)

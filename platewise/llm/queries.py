@@ -80,12 +80,21 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", token_ids.token_ids(F.col("text"), vocabulary).alias("ids"))
 
 
-def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and evaluation items that share a run of 12 words."""
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     tests = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
-    found = leaked_tests.leaked_passages(corpus, tests, window=12)
-    return found.filter("run >= 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return leaked_tests.leaked_passages(corpus, tests, window=12)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and evaluation items that share a run of 12 words."""
+    return _leaked(spark, folder).filter("run >= 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold half of an evaluation item or more, by their alignment's share of a whole copy's score, edited or not."""
+    share = leaked_tests.score_share(F.col("score"), F.col("length"))
+    return _leaked(spark, folder).filter(share >= 0.5).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "run", F.floor(share * 1000).alias("share_milli"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,4 +106,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas.main_subjects(documents, labels, subjects).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p5_pairs, p6_found, p6_counts, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p5_pairs, p6_found, p6_counts, p8_ids, p9_found, p9_scored, p10_found)}

@@ -33,7 +33,7 @@ def test_empty(spark):
 
 
 def test_as_by_brute_force_with_hot_pieces(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(lookup, "LEAST_HOT", 3)
     texts = [f"{'T' if k % 2 else 't'}-{k % 7} [{';'.join(sorted({str(k % 3), 'n' + '!' * (k % 4)}, reverse=k % 5 == 0))}]" for k in range(200)]
 
