@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.operators.lookup import hinted, looked_up
+from platewise.operators.lookup import BROADCAST_BYTES, hinted, looked_up, table_bytes
 from platewise.stage import written
 
 #: Words of an n-gram, and how many of them come before the word that a gapped one leaves out.
@@ -31,10 +31,12 @@ GRAM, HOLE = 8, 4
 FILTER_BITS = 27
 #: An n-gram is a rare seed if at most one in so many documents, or at most so many documents, have it.
 RARE_SHARE, RARE = 1000, 20
+#: Rare n-grams that a document and an item must share, unless they share the rarest of a whole window.
+LEAST_RARE = 2
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the rows that are aligned at a time.
-CELLS = 1 << 18
+CELLS = 1 << 15
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,18 +88,16 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]
         some = order[at : at + max(1, CELLS // (width + 1))]
         at += len(some)
         tall = max(len(pairs[k][0]) for k in some)
-        # Filled up with words that equal nothing.
-        a, b = np.zeros((len(some), tall), np.int64), np.zeros((len(some), width), np.int64)
-        in_a, in_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+        # Filled up with codes that equal no word's and not each other.
+        a, b = np.full((len(some), tall), -1, np.int64), np.full((len(some), width), -2, np.int64)
         for row, k in enumerate(some):
-            for whole, real, one in ((a, in_a, pairs[k][0]), (b, in_b, pairs[k][1])):
+            for whole, one in zip((a, b), pairs[k]):
                 whole[row, : len(one)] = one
-                real[row, : len(one)] = True
         steps = np.arange(1, width + 1, dtype=np.int32) * np.int32(-GAP)
         score, run = np.zeros((len(some), width + 1), np.int32), np.zeros((len(some), width + 1), np.int32)
         best, longest = np.zeros(len(some), np.int32), np.zeros(len(some), np.int32)
         for i in range(tall if width else 0):
-            same = (b == a[:, i : i + 1]) & in_b & in_a[:, i : i + 1]
+            same = b == a[:, i : i + 1]
             run[:, 1:] = (run[:, :-1] + 1) * same
             straight = np.maximum(score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), score[:, 1:] + np.int32(GAP))
             np.maximum(straight, 0, out=straight)
@@ -187,26 +187,25 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seeds(items: DataFrame, hits: DataFrame, documents: int, window: int) -> DataFrame:
-    """(item, gram, held) of the n-grams by which items are joined to documents."""
+    """(item, gram, held, sure) of the n-grams by which items are joined to documents; ``sure`` if it is the rarest of a window that a document may hold."""
     counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     each = lambda column, span: items.select("item", F.size("words").alias("length"), F.posexplode(column).alias("at", "gram"), F.lit(span).alias("span"))
     places = each("grams", GRAM).unionByName(each("gapped", GRAM + 1)).join(counts, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    places = written(places, "leaked-places")
     # A window of so many words has as many n-grams as there are starts in it; a gram belongs to each of its windows.
     starts = F.explode(F.sequence(F.greatest(F.col("at") - (window - GRAM), F.lit(0)), F.col("at"))).alias("start")
     windows = places.filter(F.col("span") == GRAM).select("item", "gram", "held", "length", starts).filter(F.col("start") + window <= F.col("length"))
     rarest = F.row_number().over(Window.partitionBy("item", "start").orderBy("held", "gram"))
-    needed = windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram", "held")
-    rare = places.filter((F.col("held") > 0) & (F.col("held") <= max(RARE, documents // RARE_SHARE))).select("item", "gram", "held")
-    return written(needed.unionByName(rare).distinct(), "leaked-seeds")
+    needed = windows.withColumn("rank", rarest).filter("rank = 1 and held > 0").select("item", "gram", "held", F.lit(True).alias("sure"))
+    rare = places.filter((F.col("held") > 0) & (F.col("held") <= max(RARE, documents // RARE_SHARE))).select("item", "gram", "held", F.lit(False).alias("sure"))
+    return written(needed.unionByName(rare).groupBy("item", "gram", "held").agg(F.bool_or("sure").alias("sure")), "leaked-seeds")
 
 
 def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> DataFrame:
     """(doc, item, score, run, length): corpus texts aligned with the test texts that they may hold a passage of.
 
     ``corpus`` and ``tests`` are (id, text). A document and an item that share ``window`` (at least ``GRAM``) consecutive words
-    are sure to come out, with ``run`` the length of the longest common run; others come out if they share a rare
-    n-gram, with ``score`` the Smith-Waterman score in words (2 for a match, -1 for a mismatch or gap) and ``length`` the
+    are sure to come out, with ``run`` the length of the longest common run; others come out if they share ``LEAST_RARE`` rare
+    n-grams, with ``score`` the Smith-Waterman score in words (2 for a match, -1 for a mismatch or gap) and ``length`` the
     item's words. No pair comes twice: of several passages, and of several texts with one id, the best counts. Null, empty and
     shorter texts give nothing, nor do empty tables.
     """
@@ -215,17 +214,23 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> Da
     id_type, item_type = corpus.schema["id"].dataType.simpleString(), tests.schema["id"].dataType.simpleString()
     items = tests.select("id", "text").filter("text is not null").mapInArrow(_item_lists, f"item {item_type}, words array<long>, grams array<long>, gapped array<long>")
     items = written(items, "leaked-items")
-    sought = items.select(F.explode(F.concat("grams", "gapped")).alias("gram")).distinct()
-    bits = min(FILTER_BITS, max(12, (16 * sought.count()).bit_length()))
+    sought = items.select(F.explode(F.concat("grams", "gapped")).alias("gram"))
+    many = items.agg(F.sum(F.size("grams") + F.size("gapped"))).first()[0] or 0
+    bits = min(FILTER_BITS, max(12, (16 * many).bit_length()))
     passed = spark.sparkContext.broadcast(_filter_words(sought, bits))
     hits = written(docs.mapInArrow(_hits(passed, bits), f"doc {id_type}, grams array<long>"), "leaked-hits").select("doc", F.explode("grams").alias("gram"))
     seeds = _seeds(items, hits, corpus.count(), window)
-    pairs = written(looked_up(hits, seeds, "gram", "held").select("doc", "item").distinct(), "leaked-pairs")
-    # How often an item's words are wanted, for the join to split items that many documents have.
-    wanted = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
+    shared = looked_up(hits, seeds, "gram", "held").groupBy("doc", "item").agg(F.bool_or("sure").alias("sure"), F.count(F.lit(1)).alias("rare"))
+    pairs = written(shared.filter(F.col("sure") | (F.col("rare") >= LEAST_RARE)).select("doc", "item"), "leaked-pairs")
     texts = docs.withColumnRenamed("id", "doc").join(hinted(pairs), "doc")
-    words_of = written(items.select("item", "words").join(wanted, "item"), "leaked-words")
-    scored = looked_up(texts, words_of, "item", "times").select("doc", "item", "text", "words").mapInArrow(_align, f"doc {id_type}, item {item_type}, score int, run int, length int")
+    words_of = items.select("item", "words", F.lit(0).alias("times"))
+    if table_bytes(words_of) > BROADCAST_BYTES:
+        # How often an item's words are wanted, for the join to split items that many documents have.
+        wanted = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
+        words_of = written(items.select("item", "words").join(wanted, "item"), "leaked-words")
+    # Spread anew, as the documents that are left may lie anywhere.
+    ready = looked_up(texts, words_of, "item", "times").select("doc", "item", "text", "words").repartition("doc", "item")
+    scored = ready.mapInArrow(_align, f"doc {id_type}, item {item_type}, score int, run int, length int")
     return scored.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.max("length").alias("length"))
 
 

@@ -205,7 +205,7 @@ def ranked_sets(records: DataFrame) -> DataFrame:
     raws = written(raws.withColumn("term", normalised(F.col("raw"))), "set-raws")
     # A term that is written once in all joins nothing; such terms only count towards sizes.
     shared = raws.filter("term <> ''").groupBy("field", "term").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("spelt")).filter("all > 1")
-    ranks = written(numbered(shared, "all", "field", "term", name="rank"), "set-terms")
+    ranks = numbered(shared, "all", "field", "term", name="rank")
     named = looked_up(raws, ranks.select("field", "term", "spelt", (F.col("rank") + 1).alias("code")), ["field", "term"], "spelt")
     blank = raws.filter("term = ''").withColumn("code", F.lit(_BLANK).cast("long"))
     dictionary = written(named.unionByName(blank).select("field", F.col("raw").alias("term"), "code", "times"), "set-dictionary")
@@ -249,10 +249,11 @@ def class_links(classes: DataFrame, threshold: Fraction = Fraction(4, 5), block:
 
 
 class Similar(NamedTuple):
-    """Links (cls_a, cls_b) between classes of equal sets, a class with copies linked with itself, and the members (cls, copies, field, side, id)
-    of the classes that have links, each id once. Both are stages."""
+    """Links (cls_a, cls_b) between classes of equal sets, a class with copies linked with itself; the classes (cls, copies) that have links; and
+    their members (cls, field, side, id), each id once. All are stages."""
 
     links: DataFrame
+    classes: DataFrame
     members: DataFrame
 
 
@@ -266,10 +267,10 @@ def similar_classes(left: DataFrame, right: DataFrame | None = None, threshold:
     links = class_links(classes, threshold).select("cls_a", "cls_b")
     equal = classes.filter("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     linked = written(links.unionByName(equal), "set-links")
-    wanted = written(linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "set-wanted")
-    keys = written(classes.select("cls", "print", "copies", F.col("copies").alias("times")).join(hinted(wanted), "cls", "left_semi"), "set-keys")
-    members = looked_up(ranked.select("print", "field", "side", "id"), keys, "print", "times").select("cls", "copies", "field", "side", "id").distinct()
-    return Similar(linked, written(members, "set-members"))
+    wanted = linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    keys = written(classes.select("cls", "print", "copies", F.col("copies").alias("times")).join(wanted, "cls", "left_semi"), "set-keys")
+    members = looked_up(ranked.select("print", "field", "side", "id"), keys, "print", "times").select("cls", "field", "side", "id").distinct()
+    return Similar(linked, keys.select("cls", "copies"), written(members, "set-members"))
 
 
 def expanded(similar: Similar) -> DataFrame:
@@ -277,13 +278,15 @@ def expanded(similar: Similar) -> DataFrame:
 
     Classes of many members are taken ``CHUNK`` members at a time, so that no group makes more than its square of pairs.
     """
-    chunks = F.ceil(F.col("copies") / F.lit(CHUNK)).cast("int")
-    members = written(similar.members.withColumn("chunk", F.pmod(F.xxhash64("side", "id"), chunks.cast("long")).cast("int")), "set-chunked")
-    sizes = similar.members.groupBy("cls").agg(F.first(chunks).alias("chunks"))
-    degrees = similar.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    sizes = written(sizes.join(degrees, "cls"), "set-sizes")
-    side = lambda c: sizes.select(F.col("cls").alias(f"cls_{c}"), F.col("chunks").alias(f"chunks_{c}"), "links")
-    sized = looked_up(looked_up(similar.links, side("a"), "cls_a", "links"), side("b"), "cls_b", "links")
+    chunks = similar.classes.select("cls", F.ceil(F.col("copies") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    large = written(chunks.filter("chunks > 1"), "set-large")
+    if large.isEmpty():
+        members, sized = similar.members.withColumn("chunk", F.lit(0)), similar.links.select("*", F.lit(1).alias("chunks_a"), F.lit(1).alias("chunks_b"))
+    else:
+        own = similar.members.join(hinted(large), "cls", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        members = written(own.withColumn("chunk", F.pmod(F.xxhash64("side", "id"), F.col("chunks").cast("long")).cast("int")).drop("chunks"), "set-chunked")
+        side = lambda c: hinted(large).withColumnsRenamed({"cls": f"cls_{c}", "chunks": f"chunks_{c}"})
+        sized = similar.links.join(side("a"), "cls_a", "left").join(side("b"), "cls_b", "left").fillna(1, ["chunks_a", "chunks_b"])
     first = sized.select("cls_a", "cls_b", "chunks_b", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)).alias("chunk_a"))
     start = F.when(F.col("cls_a") == F.col("cls_b"), F.col("chunk_a")).otherwise(0)
     both = first.select("cls_a", "cls_b", "chunk_a", F.explode(F.sequence(start, F.col("chunks_b") - 1)).alias("chunk_b"))

@@ -61,7 +61,8 @@ def corpus():
 def test_runs_as_by_brute_force(spark, monkeypatch, listed):
     # A small filter lets most n-grams pass.
     monkeypatch.setattr(lt, "FILTER_BITS", 27 if listed else 7)
-    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20 if listed else 0)
+    for module in (lookup, lt):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 1 << 20 if listed else 0)
     monkeypatch.setattr(lookup, "LEAST_HOT", 2)
     docs, items = corpus()
     runs = lambda t: {tuple(w[i : i + 12]) for w in [lt.words(t)] for i in range(len(w) - 11)}
