@@ -35,6 +35,8 @@ RARE_SHARE, RARE = 1000, 20
 LEAST_RARE = 2
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of the texts whose n-grams are sought at a time.
+WORDS = 1 << 18
 #: Cells of the rows that are aligned at a time.
 CELLS = 1 << 15
 
@@ -143,13 +145,35 @@ def _hits(held, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, mask = held.value, np.uint64((1 << bits) - 1)
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                own, _ = _all_grams(codes(text))
-                slot = own & mask
-                found.append(np.unique(own[(filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]))
-            lists = _lists([x.view(np.int64) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["doc", "grams"]).filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+            texts, first = batch.column("text").to_pylist(), 0
+            while first < len(texts):
+                # Texts up to a number of words as one sequence, of which n-grams across two texts are left out.
+                own, size = [], 0
+                for text in texts[first:]:
+                    own.append(codes(text))
+                    size += len(own[-1])
+                    if size >= WORDS:
+                        break
+                ends = np.cumsum([len(x) for x in own])
+                of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                sequence = np.concatenate(own)
+                docs, found = [], []
+                for gapped in (False, True):
+                    codes_ = grams(sequence, gapped)
+                    slot = codes_ & mask
+                    at = np.flatnonzero((filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    at = at[at + GRAM + gapped <= ends[of[at]]]
+                    docs.append(of[at])
+                    found.append(codes_[at].view(np.int64))
+                docs, found = np.concatenate(docs), np.concatenate(found)
+                order = np.lexsort((found, docs))
+                docs, found = docs[order], found[order]
+                new = np.r_[True, (docs[1:] != docs[:-1]) | (found[1:] != found[:-1])][: len(docs)]
+                docs, found = docs[new], found[new]
+                held_by = np.unique(docs)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(docs, held_by), len(docs)], pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(own)).take(pa.array(held_by)), lists], ["doc", "grams"])
+                first += len(own)
 
     return run
 

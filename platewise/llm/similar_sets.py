@@ -205,7 +205,7 @@ def ranked_sets(records: DataFrame) -> DataFrame:
     raws = written(raws.withColumn("term", normalised(F.col("raw"))), "set-raws")
     # A term that is written once in all joins nothing; such terms only count towards sizes.
     shared = raws.filter("term <> ''").groupBy("field", "term").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("spelt")).filter("all > 1")
-    ranks = numbered(shared, "all", "field", "term", name="rank")
+    ranks = numbered(shared, "all", "field", "term", name="rank", small=table_bytes(raws) <= BROADCAST_BYTES)
     named = looked_up(raws, ranks.select("field", "term", "spelt", (F.col("rank") + 1).alias("code")), ["field", "term"], "spelt")
     blank = raws.filter("term = ''").withColumn("code", F.lit(_BLANK).cast("long"))
     dictionary = written(named.unionByName(blank).select("field", F.col("raw").alias("term"), "code", "times"), "set-dictionary")

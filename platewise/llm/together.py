@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.codes import coded, starts
-from platewise.operators.lookup import looked_up
+from platewise.operators.lookup import BROADCAST_BYTES, looked_up, table_bytes
 from platewise.operators.numbering import numbered
 from platewise.stage import written
 
@@ -139,7 +139,7 @@ def pair_counts(records: DataFrame, least: int = 1, share: int | None = None) ->
     if share is not None:
         frequent = frequent.filter(F.col("held") * share >= F.col("n"))
     # Numbered in order, so that the smaller code is the smaller term, and densely, to fit few bits.
-    dictionary = written(numbered(frequent.select("field", "term", "held", "n"), "field", "term", name="code"), "together-dictionary")
+    dictionary = written(numbered(frequent.select("field", "term", "held", "n"), "field", "term", name="code", small=table_bytes(totals) <= BROADCAST_BYTES), "together-dictionary")
     blocks = (dictionary.agg(F.max("code")).first()[0] or 0) // (1 << BITS) + 1
     counted = []
     for low in range(blocks):

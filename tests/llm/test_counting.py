@@ -22,7 +22,8 @@ def baskets(count=400):
 
 @pytest.mark.parametrize(("small", "bits"), [(True, 31), (False, 31), (True, 4), (False, 5)])
 def test_pairs_as_by_brute_force(spark, monkeypatch, small, bits):
-    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20 if small else 0)
+    for module in (lookup, together):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 1 << 20 if small else 0)
     monkeypatch.setattr(codes, "HELD_BYTES", 1 << 20 if small else 0)
     monkeypatch.setattr(together, "BITS", bits)
     monkeypatch.setattr(lookup, "LEAST_HOT", 20)
