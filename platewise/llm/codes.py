@@ -1,4 +1,4 @@
-"""Integer codes of the texts in list columns, looked up in place where the dictionary is small and by joins where it isn't."""
+"""Integer codes of the texts in list columns, looked up in place where the dictionary is small and by joins where it isn't; bit filters of codes."""
 
 from __future__ import annotations
 
@@ -62,3 +62,25 @@ def coded(records: DataFrame, dictionary: DataFrame, times: str, then: Callable[
     found = looked_up(single, dictionary.select("field", "term", "code", times), ["field", "term"], times, how="left")
     lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "term", "code"))).alias("all"))
     return lists.select(*keys, F.col("all.term").alias("terms"), F.col("all.code").alias("codes")).mapInArrow(then, schema)
+
+
+def filter_bits(many: int, most: int) -> int:
+    """The size of a filter, as a power of two, that has 16 bits for each of ``many`` codes, but is bounded by ``most``."""
+    return min(most, max(6, (16 * many).bit_length()))
+
+
+def bit_filter(codes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A filter of 2 to the power of ``bits`` (6 at least) bits, set at the 64-bit codes in a column, as 64-bit words."""
+    slot = F.pmod(F.col(column), F.lit(1 << bits))
+    each = codes.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    # At most one row for each word of the filter.
+    table = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return words
+
+
+def passing(codes: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """Which codes pass a :func:`bit_filter`: all that are in it, and others by chance."""
+    slot = codes.view(np.uint64) & np.uint64((1 << bits) - 1)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from platewise.llm.codes import bit_filter, filter_bits, passing
 from platewise.operators.lookup import BROADCAST_BYTES, hinted, looked_up, table_bytes
 from platewise.stage import written
+from platewise.tables import spread
 
 #: Words of an n-gram, and how many of them come before the word that a gapped one leaves out.
 GRAM, HOLE = 8, 4
@@ -128,22 +130,11 @@ def _item_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["item", "words", "grams", "gapped"])
 
 
-def _filter_words(sought: DataFrame, bits: int) -> np.ndarray:
-    """A filter of 2 to the power of ``bits`` bits, set at the codes in ``sought`` (gram), as 64-bit words."""
-    slot = F.pmod(F.col("gram"), F.lit(1 << bits))
-    each = sought.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(gram, {1 << bits}L) & 63 as int))").alias("bit"))
-    # At most one row for each word of the filter.
-    table = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words_ = np.zeros(1 << (bits - 6), np.uint64)
-    words_[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return words_
-
-
 def _hits(held, bits: int):
     """Documents to their distinct n-grams that pass the filter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, mask = held.value, np.uint64((1 << bits) - 1)
+        filter_ = held.value
         for batch in batches:
             texts, first = batch.column("text").to_pylist(), 0
             while first < len(texts):
@@ -160,8 +151,7 @@ def _hits(held, bits: int):
                 docs, found = [], []
                 for gapped in (False, True):
                     codes_ = grams(sequence, gapped)
-                    slot = codes_ & mask
-                    at = np.flatnonzero((filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    at = np.flatnonzero(passing(codes_, filter_, bits))
                     at = at[at + GRAM + gapped <= ends[of[at]]]
                     docs.append(of[at])
                     found.append(codes_[at].view(np.int64))
@@ -240,9 +230,9 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, window: int = 12) -> Da
     items = written(items, "leaked-items")
     sought = items.select(F.explode(F.concat("grams", "gapped")).alias("gram"))
     many = items.agg(F.sum(F.size("grams") + F.size("gapped"))).first()[0] or 0
-    bits = min(FILTER_BITS, max(12, (16 * many).bit_length()))
-    passed = spark.sparkContext.broadcast(_filter_words(sought, bits))
-    hits = written(docs.mapInArrow(_hits(passed, bits), f"doc {id_type}, grams array<long>"), "leaked-hits").select("doc", F.explode("grams").alias("gram"))
+    bits = filter_bits(many, FILTER_BITS)
+    passed = spark.sparkContext.broadcast(bit_filter(sought, "gram", bits))
+    hits = written(spread(docs, "id").mapInArrow(_hits(passed, bits), f"doc {id_type}, grams array<long>"), "leaked-hits").select("doc", F.explode("grams").alias("gram"))
     seeds = _seeds(items, hits, corpus.count(), window)
     shared = looked_up(hits, seeds, "gram", "held").groupBy("doc", "item").agg(F.bool_or("sure").alias("sure"), F.count(F.lit(1)).alias("rare"))
     pairs = written(shared.filter(F.col("sure") | (F.col("rare") >= LEAST_RARE)).select("doc", "item"), "leaked-pairs")
