@@ -1,21 +1,23 @@
 """Deeply nested semi-structured records, shredded into flat tables that keep parent-child links.
 
-Every JSON text becomes rows of one adjacency table: node, parent, the label under which the parent holds
-it, its place, its kind and its scalar. Entity tables come from that table by taking object nodes and
-pivoting their scalar children. All rows of one text come from one input row, so the Arrow call that reads a
-text also joins and pivots its nodes, and no shuffle is needed.
+Every JSON text becomes rows of one adjacency table: node, parent, the label under which the parent holds it, its place, its
+kind and its scalar. Below labels that the caller names, a row also has the chain of labels it is reached by and its
+places in their arrays, which take the place of a recursive walk. Entity tables come from the adjacency table alone: object
+nodes are joined with their scalar children, which are pivoted into columns, by one aggregation of the rows that matter; all
+nodes of a text lie in one partition, so that one shuffle serves the join and the search for the text's recipe.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 NODE = T.StructType().add("node", "integer").add("parent", "integer").add("label", "string").add("ord", "integer").add("kind", "string").add("scalar", "string")
 _NODE_ARROW = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
@@ -125,6 +127,57 @@ def nodes(value: object, spelt: bool = True) -> Iterator[tuple[int, int | None,
             yield me, parent, label, place, "boolean", json.dumps(value)
 
 
+#: Columns of a node below a label of a chain: the object that holds the chain's first label, that label, how many labels further down the
+#: node is, its places in the arrays of the chain from the outermost in, and those of the chain's object that holds it ('' at the first label).
+CHAIN = T.StructType([*NODE.fields]).add("anchor", "integer").add("chain", "string").add("level", "integer").add("places", "string").add("within", "string")
+_CHAIN_ARROW = pa.struct([*_NODE_ARROW, ("anchor", pa.int32()), ("chain", pa.string()), ("level", pa.int32()), ("places", pa.string()), ("within", pa.string())])
+
+
+def chained(value: object, chains: dict[str, str | None], keep: frozenset[str]) -> Iterator[tuple]:
+    """The adjacency rows of :func:`nodes` with the columns of ``CHAIN``, of nodes in chains and nodes under the labels ``keep`` alone.
+
+    ``chains`` has the labels that begin a chain in any object and the label, if any, that goes on with it in the
+    objects of the chain. A value that isn't in an array has place 0.
+    """
+    value = _spelt(value) if isinstance(value, str) else value
+    count, none = 0, (None, None, None, None, None)
+    # The last two: the chain's columns, and whether the places are of the node itself or of the array that it is.
+    stack: list[tuple] = [(value, None, None, None, none)]
+    while stack:
+        value, parent, label, place, chain = stack.pop()
+        me, count = count, count + 1
+        anchor, start, level, places, within = chain
+        what = type(value)
+        if what is list:
+            if start is not None or label in keep:
+                yield me, parent, label, place, "array", None, anchor, start, level, places, within
+            if start is None:
+                stack += [(value[k], me, None, k, none) for k in range(len(value) - 1, -1, -1)]
+            else:
+                before = f"{places}." if places else ""
+                stack += [(value[k], me, None, k, (anchor, start, level, f"{before}{k}", within)) for k in range(len(value) - 1, -1, -1)]
+            continue
+        if what is dict:
+            if start is not None or label in keep:
+                yield me, parent, label, place, "object", None, anchor, start, level, places, within
+            further = chains[start] if start is not None else None
+            for key in reversed(value):
+                inner = value[key]
+                if key == further:
+                    below = (anchor, start, level + 1, places, places)
+                elif key in chains:
+                    below = (me, key, 0, "", "")
+                else:
+                    stack.append((inner, me, key, None, none))
+                    continue
+                if type(inner) is not list:
+                    below = (*below[:3], f"{below[3]}.0" if below[3] else "0", below[4])
+                stack.append((inner, me, key, None, below))
+        elif start is not None or label in keep:
+            kind = "number" if what is Number else "string" if what is str else "null" if value is None else "boolean"
+            yield me, parent, label, place, kind, value if kind in ("number", "string") else None if value is None else json.dumps(value), anchor, start, level, places, within
+
+
 def _spelt(text: str) -> object:
     seen: object = text
     while isinstance(seen, str) and not isinstance(seen, Number) and seen.lstrip(" \t\r\n")[:1] in ("{", "[", '"'):
@@ -166,6 +219,20 @@ def _array(values, kind: pa.DataType) -> pa.Array:
         return pa.array([v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for v in values], kind)
 
 
+def chained_rows(df: DataFrame, json_column: str, key: str, chains: dict[str, str | None], keep: Iterable[str] = ()) -> DataFrame:
+    """The rows of :func:`shredded` that are in ``chains`` or under the labels ``keep``, with ``rec`` for the text and the columns of ``CHAIN``."""
+    wanted = frozenset(keep)
+
+    @F.arrow_udf(T.ArrayType(CHAIN))
+    def shred(texts: pa.Array) -> pa.Array:
+        parts = [_columns([_rows(t, lambda v: chained(v, chains, wanted)) for t in texts.slice(at, TEXTS).to_pylist()], _CHAIN_ARROW) for at in range(0, len(texts), TEXTS)]
+        return pa.concat_arrays(parts) if parts else _columns([], _CHAIN_ARROW)
+
+    # Not to be evaluated once for the filter that Catalyst infers and again for the rows.
+    tree = df.select(F.col(f"`{key}`").alias("__key"), F.monotonically_increasing_id().alias("rec"), shred.asNondeterministic()(F.col(f"`{json_column}`")).alias("__nodes"))
+    return tree.select("__key", "rec", F.inline("__nodes"))
+
+
 def _columns(rows: list[list], struct: pa.StructType = _NODE_ARROW) -> pa.Array:
     flat = [r for one in rows for r in one]
     ends = [0]
@@ -229,45 +296,44 @@ def recipe_entities(tree: list[tuple]) -> Iterator[tuple[str, str, str, int]]:
                 work.append((inner, REPLIES, path, path, False))
 
 
-_ENTITY_FIELDS = ("kind", "node", "parent_node", "text", "name")
-_ENTITY = T.StructType([T.StructField(n, T.StringType()) for n in _ENTITY_FIELDS])
-_ENTITY_ARROW = pa.struct([(n, pa.string()) for n in _ENTITY_FIELDS])
-
-
-def _entity_rows(value: object) -> Iterator[tuple]:
-    tree = list(nodes(value))
-    scalars: dict[int, dict[str, str]] = {}
-    own = {}
-    for node, up, label, _, what, scalar in tree:
-        if label is not None and scalar is not None:
-            scalars.setdefault(up, {})[label] = scalar
-        own[node] = scalar
-    for kind, node, parent, at in recipe_entities(tree):
-        fields = scalars.get(at, {})
-        text = own[at] if own[at] is not None else fields.get(TEXT, fields.get("reviewBody"))
-        yield kind, node, parent, text, fields.get("name")
-
-
-@F.arrow_udf(T.ArrayType(_ENTITY))
-def _entities(texts: pa.Array) -> pa.Array:
-    return _columns([_rows(t, _entity_rows) for t in texts.to_pylist()], _ENTITY_ARROW)
-
-
-def entities(text: Column) -> Column:
-    """Array of the entities in a JSON text; empty for null and broken texts and texts without a recipe."""
-    # Not to be evaluated once for the filter that Catalyst infers and again for the rows.
-    return _entities.asNondeterministic()(text)
+#: The labels that begin a chain of entities, or say what an object is, and the labels that go on with them.
+CHAINS = {STEPS: ITEMS, REVIEWS: REPLIES, "@type": None}
+#: The columns of the entity tables, and the labels of the scalars that are pivoted into them, the first that there is.
+FIELDS = {"text": (TEXT, "reviewBody"), "name": ("name",)}
 
 
-def recipe_tables(df: DataFrame, json_column: str, key: str) -> DataFrame:
+def recipe_tables(df: DataFrame, json_column: str, key: str, fields: Iterable[str] = tuple(FIELDS)) -> DataFrame:
     """Sections, steps, reviews and replies of the recipe in each JSON text, a row each.
 
-    Columns: ``key`` (as ``record`` if it is named like another), kind, node, parent_node, text, name. Filter by kind for one entity's table; join
-    (key, parent_node) with (key, node) of the container's kind to go up. Rows whose text is null, broken or
-    holds no recipe give nothing; repeated rows give repeated entities.
+    Columns: ``key`` (as ``record`` if it is named like another), kind, node, parent_node, and those of text and name that
+    are in ``fields``. Filter by kind for one entity's table; join
+    (key, parent_node) with (key, node) of the container's kind to go up. The recipe is the first object of the text that is one. Rows
+    whose text is null, broken or holds no recipe give nothing; repeated rows give repeated entities.
     """
-    rows = df.select(F.col(f"`{key}`").alias("__key"), entities(F.col(f"`{json_column}`")).alias("__entities"))
-    return rows.select(F.col("__key").alias("record" if key in _ENTITY_FIELDS else key), F.inline("__entities"))
+    fields = list(fields)
+    scalars = [label for f in fields for label in FIELDS[f]]
+    children = {ITEMS, TEXT, *scalars}
+    nodes_ = chained_rows(df, json_column, key, CHAINS, children)
+    chain, kind, label, scalar = (F.col(c) for c in ("chain", "kind", "label", "scalar"))
+    own = (chain == STEPS) & kind.isin("object", "string") | (chain == REVIEWS) & (kind == "object")
+    typed = (chain == "@type") & (kind == "string") & (scalar == "Recipe") & ~F.col("places").contains(".")
+    me = F.struct("anchor", "chain", "level", "kind", "places", "within", F.when(kind == "string", scalar).alias("said"))
+    none = "struct<anchor:int,chain:string,level:int,kind:string,places:string,within:string,said:string>"
+    row = lambda of, own=None, child=None, value=None, root=None: F.struct(
+        of.alias("of"), (F.lit(None).cast(none) if own is None else own).alias("own"), *(F.lit(None).cast(k).alias(n) if x is None else x.alias(n) for n, x, k in (("child", child, "string"), ("value", value, "string"), ("root", root, "int")))
+    )
+    # A node speaks for itself, for the node that holds it, and for the object that it says the type of.
+    said = F.array(F.when(own, row(F.col("node"), own=me)), F.when(label.isin(list(children)), row(F.col("parent"), child=label, value=scalar)), F.when(typed, row(F.lit(-1), root=F.col("anchor"))))
+    spread = nodes_.select("__key", "rec", F.inline(said)).filter("of is not null").repartition("rec")
+    has = lambda name: F.coalesce(F.bool_or(F.col("child") == name), F.lit(False))
+    pivoted = [F.first(F.when(F.col("child") == name, F.col("value")), ignorenulls=True).alias(f"in_{name}") for name in dict.fromkeys(scalars)]
+    joined = spread.groupBy("rec", "of").agg(F.first("__key").alias("__key"), F.first("own", ignorenulls=True).alias("own"), F.min("root").alias("root"), has(ITEMS).alias("listed"), has(TEXT).alias("told"), *pivoted)
+    found = joined.withColumn("root", F.min("root").over(Window.partitionBy("rec"))).filter("own.anchor = root")
+    entity = F.when(F.col("own.chain") == REVIEWS, F.when(F.col("own.level") == 0, "review").otherwise("reply"))
+    entity = entity.when((F.col("own.kind") == "object") & F.col("listed"), "section").when((F.col("own.kind") == "string") | F.col("told"), "step")
+    values = [F.coalesce(*([F.col("own.said")] if f == "text" else []), *(F.col(f"in_{name}") for name in FIELDS[f])).alias(f) for f in fields]
+    named = F.col("__key").alias("record" if key in ("kind", "node", "parent_node", *FIELDS) else key)
+    return found.select(named, entity.alias("kind"), F.col("own.places").alias("node"), F.col("own.within").alias("parent_node"), *values).filter("kind is not null")
 
 
 _OBJECT = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "owner", "node", "parent_node", "label")]).add("fields", T.MapType(T.StringType(), T.StringType()))

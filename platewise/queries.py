@@ -15,7 +15,7 @@ from platewise.operators import ingest, nested_records, packed_values, predicate
 from platewise.plans import crawl
 from platewise.sources import pages, sitemaps
 from platewise.sql import SQL  # noqa: F401
-from platewise.tables import table
+from platewise.tables import spread, table
 
 #: The measured fields of the test tables.
 CALORIES = units.Quantity("calories", "energy|calories", units.ENERGY, units.NOTE_ENERGY, "kcal")
@@ -38,24 +38,49 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The amounts, in thousandths of the common unit, of fields written in another unit."""
+def _amounts(spark: SparkSession, folder: str, stated: bool) -> DataFrame:
     measured = {CALORIES: "energy_unit", FAT: "weight_unit", SUGAR: "weight_unit", SODIUM: "sodium_unit"}
     feeds = table(spark, folder, "feeds").select("feed", *sorted(set(measured.values())))
+    if not stated:
+        feeds = feeds.select("feed", *(F.lit(None).cast("string").alias(c) for c in feeds.columns[1:]))
     rows = table(spark, folder, "parsed_recipes").select("id", "feed", "nutrition_note", "parsed_at", *(q.field for q in measured))
+    rows = spread(rows, "id")
     found = units.in_common_units(rows.join(feeds, "feed", "left"), measured, key="id", note="nutrition_note", source="feed", at="parsed_at")
     return found.select("id", "field", F.round(F.col("amount") * 1000).cast("long").alias("amount_milli"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The amounts, in thousandths of the common unit, of fields written in another unit."""
+    return _amounts(spark, folder, stated=True)
+
+
+def p4_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p4_found without what feeds state of their units: the units of bare numbers are decoded from the numbers themselves."""
+    return _amounts(spark, folder, stated=False)
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "recipe_urls").select("id", "data"), "id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sections, steps, reviews and replies of every staged recipe, linked to their parents."""
-    staged = table(spark, folder, "recipe_urls")
-    return nested_records.recipe_tables(staged, "data", "id").select("id", "kind", "node", "parent_node")
+    return nested_records.recipe_tables(_texts(spark, folder), "data", "id", fields=()).select("id", "kind", "node", "parent_node")
+
+
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p7_found with the scalars pivoted into columns."""
+    return nested_records.recipe_tables(_texts(spark, folder), "data", "id")
+
+
+def p7_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The adjacency table of the staged texts."""
+    return nested_records.shredded(_texts(spark, folder), "data", "id")
 
 
 def p7_objects(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of p7_found with all their fields, and the objects nested in them, linked to their parents."""
-    return nested_records.recipe_objects(table(spark, folder, "recipe_urls"), "data", "id")
+    return nested_records.recipe_objects(_texts(spark, folder), "data", "id")
 
 
 def facet_categories(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,6 +306,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         facet_categories, facet_cuisines, names_filtered, name_search, ingredient_word, ingredients_all_of, found_texts, recipe_texts, recipe_by_id,
         recipe_summary, page_by_url, pages_by_ids, url_exists, unfinished_sitemaps, finished_sitemaps, absent_urls, staged_pages, page_facts, crawled_pages,
         crawled_frontier, staging_appended, recipes_appended, recipe_models_read, recipe_rows, guided_search, guided_choice,
-        sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p7_found, p7_objects,
+        sitemap_urls, json_fields, keyword_lists, curated_recipes, list_literals, menu_grid, sample_ten, p3_found, p4_found, p4_decoded, p7_found, p7_texts, p7_nodes, p7_objects,
     )
 }

@@ -156,6 +156,15 @@ amounts as (
   from parts)
 select distinct id, field, cast(round(amount * ({_SIZE}) / base * 1000) as bigint) amount_milli from amounts
 where unit <> common and amount is not null and not list_contains(own, common)""",
+    "p7_nodes": """
+with valid as (select id, case when json_valid(data) then data end data from recipe_urls),
+spelt as (select id, case when json_type(data) = 'VARCHAR' and json_valid(data ->> '$') then data ->> '$' else data end data from valid),
+docs as (select row_number() over () r, id, case when json_type(data) = 'VARCHAR' and json_valid(data ->> '$') then data ->> '$' else data end data from spelt where data is not null),
+tree as (select r, d.id doc, t.id nid, t.parent up, t.key, t.type, t.atom, row_number() over (partition by r order by t.id) - 1 as place from docs d, json_tree(d.data) t)
+select t.doc id, t.place::integer node, u.place::integer parent, case when u.type = 'OBJECT' then t.key end label, case when u.type = 'ARRAY' then t.key::integer end ord,
+  case t.type when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' else 'number' end kind,
+  case when t.type not in ('OBJECT', 'ARRAY', 'NULL') then t.atom ->> '$' end scalar
+from tree t left join tree u on u.r = t.r and u.nid = t.up""",
     "p7_found": """
 with recursive valid as (select id, case when json_valid(data) then data end data from recipe_urls),
 spelt as (select id, case when json_type(data) = 'VARCHAR' and json_valid(data ->> '$') then data ->> '$' else data end data from valid),

@@ -17,7 +17,8 @@ WANT = {
 
 
 def found(text):
-    return {row[:3] for row in nr._rows(text, nr._entity_rows)}
+    """The entities of one text, by walking its nodes."""
+    return {row[:3] for tree in [nr._rows(text, nr.nodes)] for row in nr.recipe_entities(tree)}
 
 
 def test_recipe_wherever_it_sits():
@@ -108,3 +109,34 @@ def test_objects_keep_every_field(spark):
         ("reply", "reply", "0.0", "0", None): {"text": "c", "up": None},
     }
     assert len(rows) == 11
+
+
+KINDS = st.sampled_from(["@type", "recipeInstructions", "itemListElement", "review", "comment", "text", "name", "k"])
+LIKE_RECIPES = st.recursive(st.none() | st.sampled_from(["Recipe", "x", 3, True]), lambda x: st.lists(x, max_size=3) | st.dictionaries(KINDS, x, max_size=5), max_leaves=25)
+
+
+def test_tables_as_by_walking(spark):
+    """Joins of adjacency rows find what a walk of each text finds."""
+    texts = [json.dumps(LIKE) for LIKE in (RECIPE, [RECIPE], {"@graph": [{"@type": "WebSite"}, RECIPE]}, json.dumps(RECIPE), {"review": [RECIPE | {"@type": "Thing"}], "@type": [["Recipe"]]})]
+    texts += ['{"a":' * 3000 + json.dumps(RECIPE) + "}" * 3000, '{"@type": "Recipe", "recipeInstructions": [[{"text": "t"}], {"text": null}, 7, {"itemListElement": null}]}', "{", "3", None]
+
+    @given(LIKE_RECIPES)
+    @settings(deadline=None, max_examples=400, database=None)
+    def more(value):
+        texts.append(json.dumps({"@type": "Recipe"} | value if isinstance(value, dict) and len(texts) % 3 else value))
+
+    more()
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, data string")
+    got = [(r.id, r.kind, r.node, r.parent_node) for r in nr.recipe_tables(df, "data", "id").collect()]
+    want = {(k, *row) for k, text in enumerate(texts) for row in found(text)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+@given(LIKE_RECIPES)
+@settings(deadline=None)
+def test_chains_are_adjacency_rows(value):
+    everything = list(nr.chained(value, nr.CHAINS, frozenset(["text", "name", "k", "itemListElement", "comment"])))
+    rows = {r[0]: r for r in nr.nodes(value)}
+    assert all(rows[r[0]] == r[:6] for r in everything)
+    below = {r[0] for r in everything if r[7] is not None}
+    assert below == {n for n, r in rows.items() if r[2] in nr.CHAINS or r[1] in below and (r[2] is None or r[2] == nr.CHAINS[next(x for x in everything if x[0] == r[1])[7]])}

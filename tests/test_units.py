@@ -111,3 +111,13 @@ def test_a_source_is_one_chain(spark, monkeypatch, days, held):
         path, _ = units.viterbi(np.array([log(float(c[1])) for c in bare]), np.full(len(bare), -1), np.array([0.0, log(1 / 4.184)]), np.mean(logs), np.std(logs))
         assert {c[0] for c, s in zip(bare, path) if s} | {c[0] for c in chain if c[4]} == found & {c[0] for c in chain}
         assert sum(s == (c[0] - chain[0][0]) // 40 % 2 for c, s in zip(bare, path)) >= 100
+
+
+def test_decoded_units_are_the_stated_ones(spark):
+    """With all that feeds state hidden, the decoder finds nearly all of their units; what is left are feeds of two numbers."""
+    import oracle
+    from platewise import queries
+
+    want = set(oracle.database().execute(f"select id, field, amount_milli from ({queries.SQL['p4_found']})").fetchall())
+    got = {(r.id, r.field, r.amount_milli) for r in queries.QUERIES["p4_decoded"](spark, str(oracle.DATA)).collect()}
+    assert len(got & want) >= 0.995 * len(want) and len(got & want) >= 0.995 * len(got)
