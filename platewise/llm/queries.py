@@ -80,6 +80,12 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", token_ids.token_ids(F.col("text"), vocabulary).alias("ids"))
 
 
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text that the token ids of every document spell; the empty text for null."""
+    vocabulary = f"{token_ids.VOCABULARIES}/byte_bpe_50k.tiktoken"
+    return p8_ids(spark, folder).select("doc_id", F.decode(token_ids.decoded_text(F.col("ids"), vocabulary), "UTF-8").alias("text"))
+
+
 def _leaked(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     tests = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
@@ -106,4 +112,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas.main_subjects(documents, labels, subjects).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p5_pairs, p6_found, p6_counts, p8_ids, p9_found, p9_scored, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_odds, p5_pairs, p6_found, p6_counts, p8_ids, p8_texts, p9_found, p9_scored, p10_found)}

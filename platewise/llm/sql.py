@@ -80,6 +80,7 @@ counts as (select field, term, count(*) k from terms group by all)
 select field, term, 'rare' mark from counts where k <= 2
 union all select field, term, 'common' from counts join sizes using (field) where k * 10 > n""",
     "p6_counts": f"with {_ROWS} select field, term, count(*) occurrences, count(distinct id) records from rows group by all",
+    "p8_texts": "select doc_id, coalesce(text, '') as text from documents",
     "p9_found": r"""
 with docs as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
 items as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
