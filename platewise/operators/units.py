@@ -46,8 +46,9 @@ FRACTIONS = {"¼": 0.25, "½": 0.5, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "⅛
 
 #: Chance that the next number of a source is in the same unit as the last.
 STAY = 0.98
-#: Days of one source and field, and numbers of these, that make a part of a chain. Results don't depend on them.
-CHUNK_DAYS, HELD = 7, 20_000
+#: Days of one source and field, low bits of the rows of numbers without a time, and numbers of these, that make a part of a chain. Results
+#: don't depend on them.
+CHUNK_DAYS, CHUNK_BITS, HELD = 7, 17, 20_000
 
 _GAP = " \u00a0\u2009\u202f"
 _WHOLE = rf"\d+(?:[,{_GAP}]\d{{3}}(?!\d))*"
@@ -258,7 +259,9 @@ def decoded_units(evidence: DataFrame, quantities: list[Quantity], stated: DataF
     unit; a field that has none is taken to be in its common unit. Amounts of zero or less tell nothing and are taken
     to be in the common unit.
     """
-    usable = evidence.filter("amount > 0").withColumn("chunk", F.coalesce(F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / (86_400 * CHUNK_DAYS)), F.lit(-(1 << 60))))
+    # Numbers without a time come first, in the order of their rows, which are cut into chunks too.
+    timeless = F.lit(-(1 << 60)) + F.shiftright("row", CHUNK_BITS)
+    usable = evidence.filter("amount > 0").withColumn("chunk", F.coalesce(F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / (86_400 * CHUNK_DAYS)), timeless))
     # A row per field.
     known = stated.filter("amount > 0 and unit is not null").withColumn("log", F.log(F.col("amount") * _factor(quantities)))
     stats = known.groupBy("field").agg(F.avg("log").alias("level"), F.stddev_pop("log").alias("spread"))

@@ -113,6 +113,21 @@ def test_a_source_is_one_chain(spark, monkeypatch, days, held):
         assert sum(s == (c[0] - chain[0][0]) // 40 % 2 for c, s in zip(bare, path)) >= 100
 
 
+def test_numbers_without_a_time_are_cut_too(spark, monkeypatch):
+    """Wherever the rows without a time are cut, the units are the same."""
+    r = np.random.default_rng(7)
+    amounts = np.exp(r.normal(6, 0.6, 400)) * np.where(np.arange(400) // 100 % 2, 4.184, 1)
+    rows = [(k, k, "calories", "a", None if k < 300 else 1.0, float(x), None) for k, x in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "id long, row long, field string, source string, t double, amount double, unit string").withColumn("at", F.timestamp_seconds("t"))
+    stated = spark.createDataFrame([("calories", float(x), "kcal") for x in np.exp(r.normal(6, 0.6, 200))], "field string, amount double, unit string")
+    found = []
+    for bits in (17, 4, 0):
+        monkeypatch.setattr(units, "CHUNK_BITS", bits)
+        found.append(sorted((x.row, x.unit) for x in units.decoded_units(df, [CALORIES], stated).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+    assert sum((u == "kJ") == (k // 100 % 2 == 1) for k, u in found[0]) > 380
+
+
 def test_decoded_units_are_the_stated_ones(spark):
     """With all that feeds state hidden, the decoder finds nearly all of their units; what is left are feeds of two numbers."""
     import oracle
