@@ -180,10 +180,16 @@ def _labels(batch: pa.RecordBatch, count: int) -> np.ndarray:
 
 def _given(terms: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
     """(term, held, s0, ...): what edges give to their terms, added up."""
-    distinct, of = np.unique(terms, return_inverse=True)
-    sums = [np.bincount(of, shares[:, k], len(distinct)) for k in range(shares.shape[1])]
-    times = np.bincount(of, minlength=len(distinct))
-    return _sums(pa.array(distinct), times, sums)
+    distinct, of = _numbered(terms)
+    given = np.flatnonzero(shares.any(axis=1))
+    sums = [np.bincount(of[given], shares[given, k], len(distinct)) for k in range(shares.shape[1])]
+    return _sums(distinct, np.bincount(of, minlength=len(distinct)), sums)
+
+
+def _numbered(terms: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct terms and the place of each term among them. By hashing, which takes a fraction of the time of sorting."""
+    coded = pa.array(terms).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
 def _sums(terms: pa.Array, held: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
@@ -195,10 +201,10 @@ def _by_labels(count: int):
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for edges in _edges(batches):
-            order = np.lexsort((edges.terms, edges.document))
-            terms, document = edges.terms[order], edges.document[order]
-            first = np.r_[True, (terms[1:] != terms[:-1]) | (document[1:] != document[:-1])][: len(terms)]
-            yield _given(terms[first], _labels(edges.batch, count)[document[first]])
+            distinct, of = _numbered(edges.terms)
+            pairs = pc.unique(pa.array(edges.document * len(distinct) + of)).to_numpy()
+            document, of = np.divmod(pairs, max(1, len(distinct)))
+            yield _given(distinct.to_numpy()[of], _labels(edges.batch, count)[document])
 
     return run
 
