@@ -19,8 +19,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
-#: Stages that may be there before a new one asks the JVM to find out which are still in use.
+#: Stages that may be there before a new one asks the JVM to find out which are still in use; if many are, twice as many as are left.
 MANY = 64
+_most = MANY
 #: Session, path, and a weak reference to the index of the files.
 _written: list[tuple[SparkSession, str, object]] = []
 _own: dict[str, str] = {}
@@ -62,7 +63,7 @@ def kept(df: DataFrame, path: str) -> DataFrame:
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
-    sweep(collect=len(_written) >= MANY)
+    sweep(collect=len(_written) >= _most)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return kept(spark.read.schema(df.schema).parquet(path), path)
@@ -86,12 +87,15 @@ def _in_use(index: object) -> bool:
 
 def sweep(collect: bool = True) -> None:
     """Remove the stages that no DataFrame reads any more. With ``collect``, garbage is collected first, which finds all of them."""
+    global _most
     if collect and _written:
         gc.collect()
         _written[-1][0].sparkContext._jvm.System.gc()
     for entry in [e for e in _written if not _in_use(e[2])]:
         _written.remove(entry)
         _remove(*entry[:2])
+    if collect:
+        _most = max(MANY, 2 * len(_written))
 
 
 def clear() -> None:
