@@ -37,6 +37,8 @@ RARE_SHARE, RARE = 1000, 20
 LEAST_RARE = 2
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Pairs of a document and an item that a task holds.
+ROWS = 500
 #: Words of the texts whose n-grams are sought at a time.
 WORDS = 1 << 18
 #: Cells of the rows that are aligned at a time.
@@ -183,7 +185,7 @@ def reaches(doc: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         items = [x.values.to_numpy().view(np.uint64) for x in batch.column("words")]
         last, doc = None, None
         pairs, of = [], []
