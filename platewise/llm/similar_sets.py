@@ -186,8 +186,8 @@ def _ranked(kind: pa.DataType):
                 prints.append(digest.digest())
             ranks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values).cast(kind))
             keep = pa.array(n > 0)
-            columns = [batch.column(c) for c in ("side", "field", "id")] + [pa.array(n.astype(np.int32)), ranks, pa.array(prints, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["side", "field", "id", "n", "ranks", "print"]).filter(keep)
+            columns = [batch.column(c) for c in ("rec", "side", "field", "id")] + [pa.array(n.astype(np.int32)), ranks, pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "side", "field", "id", "n", "ranks", "print"]).filter(keep)
 
     return run
 
@@ -199,7 +199,7 @@ def set_records(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame
 
 
 def ranked_sets(records: DataFrame) -> DataFrame:
-    """(side, field, id, n, ranks, print) of the non-empty sets of (side, field, id, terms), a stage."""
+    """(rec, side, field, id, n, ranks, print) of the non-empty sets of (side, field, id, terms), a stage; ``rec`` is unique."""
     records = records.filter(F.size("terms") > 0).select(F.monotonically_increasing_id().alias("rec"), "side", "field", "id", "terms")
     raws = records.select("field", F.explode("terms").alias("raw")).filter("raw is not null").groupBy("field", "raw").agg(F.count(F.lit(1)).alias("times"))
     raws = written(raws.withColumn("term", normalised(F.col("raw"))), "set-raws")
@@ -210,35 +210,46 @@ def ranked_sets(records: DataFrame) -> DataFrame:
     blank = raws.filter("term = ''").withColumn("code", F.lit(_BLANK).cast("long"))
     dictionary = written(named.unionByName(blank).select("field", F.col("raw").alias("term"), "code", "times"), "set-dictionary")
     small = (ranks.agg(F.max("rank")).first()[0] or 0) + 1 < 1 << 31
-    schema = f"side int, field string, id {records.schema['id'].dataType.simpleString()}, n int, ranks array<{'int' if small else 'long'}>, print binary"
+    schema = f"rec long, side int, field string, id {records.schema['id'].dataType.simpleString()}, n int, ranks array<{'int' if small else 'long'}>, print binary"
     return written(coded(records, dictionary, "times", _ranked(pa.int32() if small else pa.int64()), schema), "set-ranked")
 
 
-def set_classes(ranked: DataFrame) -> DataFrame:
-    """(cls, print, n, ranks, copies): the classes of equal sets, a stage. Sets without a term that another may have are left out."""
-    grouped = ranked.filter(F.size("ranks") > 0).groupBy("print", "n", "ranks").agg(F.count(F.lit(1)).alias("copies"))
-    return written(grouped.select(F.monotonically_increasing_id().alias("cls"), "print", "n", "ranks", "copies"), "set-classes")
+def classed(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``cls``, the record that stands for all records with an equal set, and ``copies``, how many there are.
+
+    Only prints are shuffled, and of these only the repeated ones are joined back.
+    """
+    repeated = ranked.groupBy("print").agg(F.min("rec").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    repeated = written(repeated.withColumn("copies", F.col("times")), "set-repeated")
+    found = looked_up(ranked, repeated, "print", "times", how="left").withColumns({"cls": F.coalesce("first", "rec"), "copies": F.coalesce("copies", F.lit(1))})
+    found = found.select("rec", "cls", "copies", "side", "field", "id", "n", "ranks")
+    return found if table_bytes(repeated) <= BROADCAST_BYTES else written(found, "set-classed")
 
 
 def class_links(classes: DataFrame, threshold: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
-    """(cls_a, cls_b, common) of every two classes whose sets are similar; no pair comes twice."""
+    """(cls_a, cls_b, common) of every two classes (cls, n, ranks) whose sets are similar; no pair comes twice."""
     least = F.ceil(F.col("n") * threshold.numerator / F.lit(float(threshold.denominator)) - F.lit(1e-9)).cast("int")
     # Of the first n - least + 1 terms, those of one record alone come first.
     prefix = (F.size("ranks") - least + 1).cast("int")
-    # Similar sets are in the same or in neighbouring classes of size.
+    # Similar sets are in the same or in neighbouring bands of size.
     width = max(-log(threshold) + 1e-9, 1e-6)
-    postings = classes.filter(prefix > 0).select("cls", "n", "ranks", F.floor(F.log("n") / width).alias("band"), F.explode(F.slice(F.col("ranks").cast("array<long>"), F.lit(1), prefix)).alias("token"))
-    bands = postings.groupBy("token", "band").agg(F.count(F.lit(1)).alias("posted"))
-    split = F.collect_list(F.struct("band", F.ceil(F.col("posted") / F.lit(block)).cast("int").alias("blocks")))
-    posted = bands.groupBy("token").agg(F.sum("posted").alias("posted"), split.alias("bands")).filter("posted > 1")
-    # A list of bands only for terms of more postings than a block; there are fewer of them than blocks.
-    posted = written(posted.withColumn("bands", F.when(F.col("posted") > block, F.col("bands"))), "set-posted")
+    tokens = F.explode(F.slice(F.col("ranks").cast("array<long>"), F.lit(1), prefix)).alias("token")
+    postings = classes.filter(prefix > 0).select("cls", "n", "ranks", F.floor(F.log("n") / width).alias("band"), tokens)
+    counts = postings.groupBy("token", "band").agg(F.count(F.lit(1)).alias("posted"))
+    # The bands of a term, of which there are few, with their blocks: those that have a partner in the same band or the next.
+    grouped = counts.groupBy("token").agg(F.sum("posted").alias("times"), F.collect_list(F.struct("band", "posted", F.ceil(F.col("posted") / F.lit(block)).cast("int").alias("blocks"))).alias("all"))
+    met = F.filter("all", lambda x: F.exists("all", lambda y: (F.abs(x["band"] - y["band"]) <= 1) & ((x["band"] != y["band"]) | (x["posted"] > 1))))
+    whole = F.col("times") <= block
+    bands = F.transform(met, lambda x: F.struct(x["band"].alias("band"), F.when(~whole, x["blocks"]).alias("blocks")))
+    posted = written(grouped.select("token", "times", bands.alias("bands")).filter(F.size("bands") > 0), "set-posted")
     if table_bytes(posted) <= BROADCAST_BYTES:
-        placed = looked_up(postings, posted.withColumn("times", F.col("posted")), "token", "times")
+        placed = looked_up(postings, posted, "token", "times").filter(F.exists("bands", lambda b: b["band"] == F.col("band")))
     else:
-        placed = looked_up(postings, written(posted.filter("bands is not null").withColumn("times", F.col("posted")), "set-crowded"), "token", "times", how="left")
+        # Only terms of more postings than a block, of which there are fewer than blocks, need to be looked up.
+        crowded = written(posted.filter(F.col("times") > block), "set-crowded")
+        placed = looked_up(postings, crowded, "token", "times", how="left").filter(F.coalesce(F.exists("bands", lambda b: b["band"] == F.col("band")), F.lit(True)))
     code = lambda band, number: F.shiftleft(band.cast("long"), 32) + number
-    mine = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["blocks"]
+    mine = F.get(F.filter("bands", lambda b: b["band"] == F.col("band")), F.lit(0))["blocks"]
     near = F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)
     others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda k: code(b["band"], k))))
     place = F.coalesce(code(F.col("band"), F.pmod(F.xxhash64("cls"), mine.cast("long"))), F.lit(0).cast("long"))
@@ -262,15 +273,15 @@ def similar_classes(left: DataFrame, right: DataFrame | None = None, threshold:
     records = left.select("field", "id", "terms", F.lit(0).alias("side"))
     if right is not None:
         records = records.unionByName(right.select("field", "id", "terms", F.lit(1).alias("side")))
-    ranked = ranked_sets(records)
-    classes = set_classes(ranked)
-    links = class_links(classes, threshold).select("cls_a", "cls_b")
-    equal = classes.filter("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
+    sets = classed(ranked_sets(records))
+    first = sets.filter("rec = cls")
+    links = class_links(first.select("cls", "n", "ranks"), threshold).select("cls_a", "cls_b")
+    equal = first.filter("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     linked = written(links.unionByName(equal), "set-links")
     wanted = linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    keys = written(classes.select("cls", "print", "copies", F.col("copies").alias("times")).join(wanted, "cls", "left_semi"), "set-keys")
-    members = looked_up(ranked.select("print", "field", "side", "id"), keys, "print", "times").select("cls", "field", "side", "id").distinct()
-    return Similar(linked, keys.select("cls", "copies"), written(members, "set-members"))
+    classes = written(first.select("cls", "copies").join(wanted, "cls", "left_semi"), "set-classes")
+    members = looked_up(sets.select("cls", "field", "side", "id"), classes.select("cls", F.col("copies").alias("times")), "cls", "times").distinct()
+    return Similar(linked, classes, written(members, "set-members"))
 
 
 def expanded(similar: Similar) -> DataFrame:
