@@ -65,8 +65,16 @@ def coded(records: DataFrame, dictionary: DataFrame, times: str, then: Callable[
 
 
 def filter_bits(many: int, most: int) -> int:
-    """The size of a filter, as a power of two, that has 16 bits for each of ``many`` codes, but is bounded by ``most``."""
-    return min(most, max(6, (16 * many).bit_length()))
+    """The size of a filter, as a power of two, that has some hundred bits for each of ``many`` codes, but is bounded by ``most``."""
+    return min(most, max(6, (128 * many).bit_length()))
+
+
+def filter_of(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The filter of :func:`bit_filter`, of codes at hand."""
+    slot = codes.view(np.uint64) & np.uint64((1 << bits) - 1)
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    np.bitwise_or.at(words, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+    return words
 
 
 def bit_filter(codes: DataFrame, column: str, bits: int) -> np.ndarray:

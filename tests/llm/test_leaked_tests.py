@@ -53,10 +53,15 @@ def corpus():
         at = r.randrange(max(1, len(item) - size + 1))
         text[r.randrange(60) : 0] = item[at : at + size]
         docs.append(" ".join(text))
+    docs += [" ".join(edited(items[k].split(), 9, "replaced")) for k in range(20)]
     docs += [items[5].upper().replace(" ", ", "), "", None, " ", items[6] * 1, "x " * 50_000 + items[7], docs[0]]
     return docs, items + ["", None]
 
 
+#: All rows of the test that follows, which must be the same either way.
+SEEN = []
+
+
 @pytest.mark.parametrize("listed", [True, False])
 def test_runs_as_by_brute_force(spark, monkeypatch, listed):
     # A small filter lets most n-grams pass.
@@ -69,7 +74,10 @@ def test_runs_as_by_brute_force(spark, monkeypatch, listed):
     of_items = [runs(t) for t in items]
     want = {(d, i) for d, text in enumerate(docs) for mine in [runs(text)] for i, x in enumerate(of_items) if mine & x}
     df = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    found = [(r.doc, r.item) for r in lt.leaked_passages(df(docs), df(items)).filter("run >= 12").collect()]
+    rows = lt.leaked_passages(df(docs), df(items)).collect()
+    SEEN.append(sorted(map(tuple, rows)))
+    assert SEEN[0] == SEEN[-1]
+    found = [(r.doc, r.item) for r in rows if r.run >= 12]
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
 
 
