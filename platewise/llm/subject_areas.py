@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.llm.codes import bit_filter, filter_bits, passing, starts
-from platewise.operators.lookup import hinted
+from platewise.operators.lookup import BROADCAST_BYTES, hinted, table_bytes
 from platewise.stage import written
 from platewise.tables import spread
 
@@ -56,7 +56,7 @@ SETTLED, MOST_ROUNDS = 0.02, 20
 HELD, EDGES = 200_000, 1 << 20
 #: Bytes of weights that tasks hold.
 WEIGHT_BYTES = 64 << 20
-#: Terms pass a bit filter of 16 bits for each, and at most of 2 to this power (16 MB), before they are shuffled.
+#: Terms pass a bit filter of some hundred bits for each, and at most of 2 to this power (16 MB), before they are shuffled.
 FILTER_BITS = 27
 
 _SENTENCE = re.compile(r"[.!?;\n|<>。！？；]+")
@@ -287,6 +287,37 @@ def _sent(graph: DataFrame, weights: DataFrame, most: int, count: int):
     return graph, block
 
 
+def _flagged(passed, bits: int):
+    """Rows with ``known``: whether the hash of the id passes the filter."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pa.array(passing(batch.column("hash").to_numpy(), passed.value, bits))
+            yield from features([batch.drop_columns("hash").append_column("known", known)])
+
+    return run
+
+
+def _graph(texts: DataFrame, seeds: DataFrame, id_type: str) -> DataFrame:
+    """(id, label, terms, sentences, lengths) of the texts that have terms, label null without one, as stages.
+
+    A table of labels that outgrows a broadcast is joined by shuffle, but with those documents alone that pass a bit filter of the
+    labelled ids.
+    """
+    some = F.size("terms") > 0
+    if table_bytes(seeds) <= BROADCAST_BYTES:
+        joined = texts.join(F.broadcast(seeds), "id", "left")
+        return written(joined.mapInArrow(features, f"id {id_type}, label array<int>, {FEATURES}").filter(some), "subject-features")
+    hashes = seeds.select(F.xxhash64("id").alias("hash"))
+    bits = filter_bits(seeds.count(), FILTER_BITS)
+    passed = texts.sparkSession.sparkContext.broadcast(bit_filter(hashes, "hash", bits))
+    flagged = texts.withColumn("hash", F.xxhash64("id")).mapInArrow(_flagged(passed, bits), f"id {id_type}, known boolean, {FEATURES}").filter(some)
+    flagged = written(flagged, "subject-features")
+    columns = ("id", "label", "terms", "sentences", "lengths")
+    labelled = written(flagged.filter("known").join(seeds, "id", "left").select(*columns), "subject-labelled")
+    return labelled.unionByName(flagged.filter("not known").withColumn("label", F.lit(None).cast("array<int>")).select(*columns))
+
+
 def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = MOST_ROUNDS) -> DataFrame:
     """(id, subject): a row per main subject of each document without a label.
 
@@ -311,9 +342,7 @@ def main_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str],
     if not any(prior):
         return nothing
 
-    texts = spread(documents.select("id", "text").filter(F.col("text").isNotNull()), "id").join(hinted(seeds), "id", "left")
-    graph = texts.mapInArrow(features, f"id {id_type}, label array<int>, {FEATURES}").filter(F.size("terms") > 0)
-    graph = written(graph, "subject-features")
+    graph = _graph(spread(documents.select("id", "text").filter(F.col("text").isNotNull()), "id"), seeds, id_type)
     schema = f"term long, held long, {', '.join(f'{c} double' for c in columns)}"
     added = [F.sum(c).alias(c) for c in columns]
 

@@ -16,7 +16,8 @@ def tables(spark):
 @pytest.mark.parametrize("size", [1 << 26, 20_000])
 def test_held_out_labels(spark, monkeypatch, size):
     """Recall and precision, also where weights are sent in blocks."""
-    monkeypatch.setattr(lookup, "BROADCAST_BYTES", size)
+    for module in (lookup, sa):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", size)
     monkeypatch.setattr(sa, "WEIGHT_BYTES", size)
     documents, labels, subjects = tables(spark)
     known = labels.filter("id % 5 <> 0")
@@ -42,6 +43,7 @@ def test_blocks_of_weights_change_nothing(spark, monkeypatch):
     documents, labels, subjects = tables(spark)
     whole = sorted(map(tuple, sa.main_subjects(documents, labels, subjects).collect()))
     monkeypatch.setattr(sa, "WEIGHT_BYTES", 15_000)
+    monkeypatch.setattr(sa, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(sa, "FILTER_BITS", 8)
     assert sorted(map(tuple, sa.main_subjects(documents, labels, subjects).collect())) == whole and whole
 
