@@ -15,6 +15,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,7 +91,8 @@ def sweep(collect: bool = True) -> None:
     global _most
     if collect and _written:
         gc.collect()
-        _written[-1][0].sparkContext._jvm.System.gc()
+        with suppress(Exception):  # of a session that has ended
+            _written[-1][0].sparkContext._jvm.System.gc()
     for entry in [e for e in _written if not _in_use(e[2])]:
         _written.remove(entry)
         _remove(*entry[:2])
